@@ -1,0 +1,6 @@
+"""Named queries over the driver's tables and their SQL twins."""
+
+from __future__ import annotations
+
+QUERIES: dict = {}
+ORACLES: dict = {}
