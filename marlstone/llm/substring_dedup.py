@@ -8,7 +8,7 @@ The index keeps, for each bucket of the hash space, sorted immutable runs of the
 all windows seen so far. A batch of documents is ingested in these steps:
 
 1. Every task computes the windows of its documents. Windows are routed by an *anchor*, the
-   smallest hash among the window's ``gram``-word runs: equal windows have the same anchor at the
+   ``gram``-word run of the window whose hash comes first in a scrambled order: equal windows have the same anchor at the
    same offset, and neighbouring windows mostly share one, so one record (anchor hash, document,
    position, 32 more bits for each window) carries about seven windows. Records that repeat within
    the task's slice of documents are settled there, so a passage that a third of all documents hold reaches a
@@ -48,7 +48,7 @@ GRAM = 8
 #: Bytes of text whose windows are sent on together.
 SLICE_BYTES = 4 << 20
 #: Bytes of text for each bucket.
-BUCKET_BYTES = 16 << 20
+BUCKET_BYTES = 8 << 20
 LEAST_BUCKETS = 32
 NULL_ID = -(2**63)
 
@@ -66,7 +66,9 @@ def _anchors(words: fw.Words, window: int, gram: int) -> tuple[np.ndarray, ...]:
     if len(h) < window:
         return (np.empty(0, np.int64),) * 3 + (np.empty(0, np.uint64), np.empty(0, np.uint32))
     grams, whole = fw.window_hash(h, gram), fw.window_hash(h, window)
-    at = fw.sliding_argmin(grams, window - gram + 1)[: len(whole)]
+    with np.errstate(over="ignore"):
+        order = fw.mix(grams + np.uint64(0x51ED270B9F1C3E55))  # the smallest hashes themselves would crowd into the first buckets
+    at = fw.sliding_argmin(order, window - gram + 1)[: len(whole)]
     valid = np.flatnonzero(words.doc[: len(whole)] == words.doc[window - 1 :])
     if not len(valid):
         return _anchors(_NOTHING, window, gram)
@@ -203,9 +205,9 @@ def _merge_bucket(table: pa.Table, keep_run: bool) -> pa.Table:
         take = np.repeat(at[by], cnt[by]) + np.arange(len(ctx)) - np.repeat(np.cumsum(cnt[by]) - cnt[by], cnt[by])
         g, doc, pos, off, cnt, ctx = g[by], doc[by], pos[by], off[by], cnt[by], ctx[take]
         at = np.cumsum(cnt) - cnt
-        owner = np.repeat(np.arange(len(g)), cnt)
-        within = np.arange(len(ctx)) - at[owner]
-        offs = off[owner] - within
+        owner = np.repeat(np.arange(len(g), dtype=np.int32), cnt)
+        within = (np.arange(len(ctx)) - at[owner]).astype(np.int32)
+        offs = off.astype(np.int32)[owner] - within
         key = _window_keys(g[owner], offs, ctx)
         order = np.argsort(key, kind="stable")  # by place within a key, as the records are
         head = _heads(order, key, g, owner, offs, ctx)
@@ -213,7 +215,7 @@ def _merge_bucket(table: pa.Table, keep_run: bool) -> pa.Table:
             order = np.lexsort((ctx, offs, g[owner], key))
             head = _heads(order, key, g, owner, offs, ctx, exact=True)
         first = order[head]
-        group = np.cumsum(head) - 1
+        group = np.cumsum(head, dtype=np.int32) - 1
         lead = first[group]
         start = pos[owner] - offs
         covered = (doc[owner][order] != doc[owner][lead]) | (start[order] != start[lead])
