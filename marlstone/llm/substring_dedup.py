@@ -111,7 +111,7 @@ def _slice_rows(ids: np.ndarray, texts: list[bytes], window: int, gram: int, buc
     settled, rest = order[later], np.sort(order[~again])
     bucket = (g >> np.uint64(32)).astype(np.int64) * buckets >> 32
     if len(settled):
-        yield from _place_rows(doc[settled], pos[settled], g[settled], off[settled], (1 << cnt[settled]) - 1, bucket[settled])
+        yield from _place_rows(doc[settled], pos[settled], g[settled], off[settled], (1 << cnt[settled]) - 1, doc[settled] % buckets)
     by = rest[np.argsort(g[rest], kind="stable")]
     cut = np.searchsorted(bucket[by], np.arange(buckets + 1))
     start = ends - cnt
