@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .license_scan import license_scan
+from .piece_bpe import encode_decode
 from .substring_dedup import substring_dedup
+from .token_files import read_token_files, write_token_files
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,11 +19,38 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substring_dedup(_table(spark, sf_dir, "documents"), batches=2)
-    return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+    return out.select("doc_id", "n_words", "n_removed", _sha256("text").alias("kept_sha256"))
+
+
+def _tokenizer(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def _sha256(column: str) -> Column:
+    return F.sha2(F.col(column).cast("binary"), 256)
+
+
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = encode_decode(_table(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model"))
+    return out.select("doc_id", "n_tokens", _sha256("ids").alias("ids_sha256"), _sha256("decoded").alias("decoded_sha256"))
+
+
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = write_token_files(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"), end_id=2)
+    return read_token_files(spark, path).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(_table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_substring_dedup": op4_substring_dedup,
+    "op6_sentencepiece": op6_sentencepiece,
+    "op8_token_files": op8_token_files,
+    "op9_license_scan": op9_license_scan,
 }
 
 ORACLES: dict[str, str] = {}
