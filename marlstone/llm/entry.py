@@ -7,6 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import line_dedup as _lines
+from . import topk_search as _topk
+from . import url_filter as _urls
 from .license_scan import license_scan
 from .piece_bpe import encode_decode
 from .substring_dedup import substring_dedup
@@ -17,6 +20,19 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _topk.topk_search(_table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
+
+
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = _lines.line_dedup(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_removed", _sha256("text").alias("kept_sha256"))
+
+
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _urls.url_filter(_table(spark, sf_dir, "pages"))
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substring_dedup(_table(spark, sf_dir, "documents"), batches=2)
     return out.select("doc_id", "n_words", "n_removed", _sha256("text").alias("kept_sha256"))
@@ -47,10 +63,17 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_topk_search": op1_topk_search,
+    "op3_line_dedup": op3_line_dedup,
+    "op7_url_filter": op7_url_filter,
     "op4_substring_dedup": op4_substring_dedup,
     "op6_sentencepiece": op6_sentencepiece,
     "op8_token_files": op8_token_files,
     "op9_license_scan": op9_license_scan,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_topk_search": _topk.ORACLE_SQL,
+    "op3_line_dedup": _lines.ORACLE_SQL,
+    "op7_url_filter": _urls.ORACLE_SQL,
+}
