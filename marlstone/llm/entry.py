@@ -7,23 +7,34 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marlstone.sources.session import table as _table
+
 from . import line_dedup as _lines
 from . import topk_search as _topk
+from . import toxicity as _toxic
 from . import url_filter as _urls
+from .decontaminate import find_leaks
 from .license_scan import license_scan
 from .piece_bpe import encode_decode
 from .substring_dedup import substring_dedup
 from .token_files import read_token_files, write_token_files
 
 
-def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def op1_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _topk.topk_search(_table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
 
 
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    lexicon = _toxic.learn(docs, _table(spark, sf_dir, "labels"), ~_toxic.held_out(F.col("id")))
+    out = _toxic.score_texts(docs, lexicon)
+    return out.select("doc_id", _toxic.held_out(F.col("doc_id")).alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= _toxic.THRESHOLD).cast("int").alias("predicted"))
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = _lines.line_dedup(_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_lines", "n_removed", _sha256("text").alias("kept_sha256"))
@@ -64,6 +75,8 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_topk_search": op1_topk_search,
+    "op2_decontaminate": op2_decontaminate,
+    "op5_toxicity": op5_toxicity,
     "op3_line_dedup": op3_line_dedup,
     "op7_url_filter": op7_url_filter,
     "op4_substring_dedup": op4_substring_dedup,
