@@ -74,8 +74,8 @@ def terms_of(words: set[str]) -> set[str]:
 class Lexicon:
     """Weighted terms, exceptions and the logistic curve."""
 
-    def __init__(self, weights: dict[str, float], intercept: float = -3.0, slope: float = 1.5):
-        self.weights, self.intercept, self.slope = weights, intercept, slope
+    def __init__(self, weights: dict[str, float], intercept: float = -3.0, slope: float = 3.0, without: float = 0.01):
+        self.weights, self.intercept, self.slope, self.without = weights, intercept, slope, without
 
     def automaton(self):
         import ahocorasick
@@ -103,7 +103,8 @@ class Lexicon:
         return math.log1p(100 * sum(total.values()) / (folded.count(" ") + 50)) if total else 0.0
 
     def score(self, load: float) -> float:
-        return 1 / (1 + math.exp(-(self.intercept + self.slope * load)))
+        """A text without matches has the share of toxic ones among such; the curve holds for the others."""
+        return max(self.without, 1 / (1 + math.exp(-(self.intercept + self.slope * load)))) if load else self.without
 
 
 def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,20 +179,23 @@ def learn(docs: DataFrame, labels: DataFrame, usable: Column | None = None, id_c
 
 def _calibrate(lexicon: Lexicon, x: np.ndarray, y: np.ndarray, part: dict[int, float]) -> Lexicon:
     """Logistic regression on the load, with weights that undo the sampling, by Newton's steps."""
-    if not len(x):
-        return lexicon
     weight = np.where(y == 1, 1 / part[1], 1 / part[0])
+    none = x == 0
+    without = min(float((weight * y)[none].sum() / weight[none].sum()), 0.2) if none.any() else 0.01
+    x, y, weight = x[~none], y[~none], weight[~none]
+    if not len(x):
+        return Lexicon(lexicon.weights, without=without)
     weight = weight / weight.mean()
-    a, design = np.array([-3.0, 1.5]), np.stack([np.ones(len(x)), x], 1)
+    a, design = np.array([-3.0, 3.0]), np.stack([np.ones(len(x)), x], 1)
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(design @ a, -30, 30)))
         ridge = np.array([1e-3, 1e-1])
-        gradient = design.T @ (weight * (y - p)) - ridge * (a - [-3.0, 1.5])
+        gradient = design.T @ (weight * (y - p)) - ridge * (a - [-3.0, 3.0])
         step = np.linalg.solve((design * (weight * p * (1 - p))[:, None]).T @ design + np.diag(ridge), gradient)
         a = a + np.clip(step, -2, 2)
         if np.abs(step).max() < 1e-8:
             break
-    return Lexicon(lexicon.weights, float(a[0]), float(max(a[1], 0.1)))
+    return Lexicon(lexicon.weights, float(a[0]), float(max(a[1], 0.1)), without)
 
 
 def score_texts(docs: DataFrame, lexicon: Lexicon, text_col: str = "text") -> DataFrame:
