@@ -14,6 +14,7 @@ from . import topk_search as _topk
 from . import toxicity as _toxic
 from . import url_filter as _urls
 from .decontaminate import find_leaks
+from .jaccard_join import jaccard_groups
 from .license_scan import license_scan
 from .piece_bpe import encode_decode
 from .substring_dedup import substring_dedup
@@ -73,6 +74,10 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(_table(spark, sf_dir, "documents"))
 
 
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_groups(_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_topk_search": op1_topk_search,
     "op2_decontaminate": op2_decontaminate,
@@ -83,6 +88,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_sentencepiece": op6_sentencepiece,
     "op8_token_files": op8_token_files,
     "op9_license_scan": op9_license_scan,
+    "op10_jaccard_join": op10_jaccard_join,
 }
 
 ORACLES: dict[str, str] = {
