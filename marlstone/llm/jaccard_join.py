@@ -10,8 +10,8 @@ the rest by hash. Two sets with Jaccard >= t have a shingle in common among the
 3. Pairs are verified by prefix tree: the lists to compare with one class form a tree in which equal
    beginnings share their partial overlap, and a branch is left as soon as what remains of the
    lists can't reach the overlap needed. Links join classes into components.
-4. The buckets are read again with the components. Every pair of classes that meet, fit in size
-   and position, and are still in different components is verified likewise. Pairs inside one
+4. The buckets are read again with the components. Every pair of classes in different
+   components that meet often enough for a link (what a prefix doesn't show is bounded) is verified likewise. Pairs inside one
    component can't change it, so a group of thousands of copies never makes all its pairs; every
    pair across components is judged, and no link between different components is missed.
 
@@ -30,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import bytesplanes as planes
@@ -50,6 +50,8 @@ BROADCAST_IDS = 500_000
 TREE = 256
 
 _TOP = np.uint64(1 << 63)
+#: Bits that the index leaves out of a shingle: some others then look alike, which only adds pairs to verify.
+_CUT = np.uint64(24)
 
 
 def _sets(texts: list[bytes], width: int) -> list[np.ndarray]:
@@ -84,6 +86,10 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[byte
             yield ids[lo:hi], texts[lo:hi]
 
 
+def _prefix(n: int, percent: int) -> int:
+    return n - -(-percent * n // 100) + 1 if n else 0
+
+
 def _hot_counter(width: int):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, texts in _chunks(batches):
@@ -104,25 +110,23 @@ def _signer(width: int, percent: int, hot):
                     n.append(len(s))
                     a.append(int(fw.mix(s).sum(dtype=np.uint64).astype(np.int64)))
                     b.append(int(fw.mix(s ^ np.uint64(0x5DEECE66D)).sum(dtype=np.uint64).astype(np.int64)))
-                    p = len(s) - -(-percent * len(s) // 100) + 1 if len(s) else 0
-                    prefix.append(_ordered(s, hot.value)[:p].tobytes())
+                    prefix.append(planes.pack_sorted(_ordered(s, hot.value)[: _prefix(len(s), percent)] >> _CUT))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(prefix, pa.binary())], ["doc_id", "n", "a", "b", "prefix"])
 
     return sign
 
 
-_POSTINGS = "bucket int, m int, token binary, id binary, n binary, pos binary, comp binary"
-_POSTING_SCHEMA = pa.schema([("bucket", pa.int32()), ("m", pa.int32()), *[(k, pa.binary()) for k in ("token", "id", "n", "pos", "comp")]])
+_POSTINGS = "bucket int, m int, token binary, id binary, n binary, comp binary"
+_POSTING_SCHEMA = pa.schema([("bucket", pa.int32()), ("m", pa.int32()), *[(k, pa.binary()) for k in ("token", "id", "n", "comp")]])
 
 
-def _poster(buckets: int):
+def _poster(buckets: int, percent: int):
     """Prefix shingles of many classes, a row for each bucket."""
 
     def flush(ids, ns, comps, prefixes) -> pa.RecordBatch:
-        tokens = [np.frombuffer(p, np.uint64) for p in prefixes]
+        tokens = [planes.unpack_sorted(p, _prefix(n, percent)) for p, n in zip(prefixes, ns, strict=True)]
         size = np.array([len(t) for t in tokens])
         token = np.concatenate(tokens)
-        pos = np.arange(len(token)) - np.repeat(np.cumsum(size) - size, size)
         who = np.repeat(np.arange(len(ids)), size)
         # the hash itself is skewed here (prefixes are the small ones)
         bucket = (fw.mix(token + np.uint64(1)) >> np.uint64(32)).astype(np.int64) * buckets >> 32
@@ -133,7 +137,7 @@ def _poster(buckets: int):
         for b in np.flatnonzero(np.diff(cut)).tolist():
             i = order[cut[b] : cut[b + 1]]
             w = who[i]
-            rows.append({"bucket": b, "m": len(i), "token": planes.pack_sorted(token[i]), "id": planes.pack(ids[w].view(np.uint64)), "n": planes.pack(ns[w]), "pos": planes.pack(pos[i]), "comp": planes.pack(comps[w].view(np.uint64))})
+            rows.append({"bucket": b, "m": len(i), "token": planes.pack_sorted(token[i]), "id": planes.pack(ids[w].view(np.uint64)), "n": planes.pack(ns[w]), "comp": planes.pack(comps[w].view(np.uint64))})
         return pa.RecordBatch.from_pylist(rows, _POSTING_SCHEMA)
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,7 +163,7 @@ def _meetings(table: pa.Table) -> tuple[np.ndarray, ...]:
     rows = table.to_pylist()
     token = np.concatenate([planes.unpack_sorted(r["token"], r["m"]) for r in rows])
     get = lambda k: np.concatenate([planes.unpack(r[k], r["m"]).view(np.int64) for r in rows])
-    ids, n, pos, comp = get("id"), get("n"), get("pos"), get("comp")
+    ids, n, comp = get("id"), get("n"), get("comp")
     order = np.argsort(token, kind="stable")
     t = token[order]
     new = np.concatenate(([True], t[1:] != t[:-1]))
@@ -168,63 +172,63 @@ def _meetings(table: pa.Table) -> tuple[np.ndarray, ...]:
     order = order[np.lexsort((ids[order], n[order], token[order]))]
     t = token[order]
     group = np.cumsum(np.concatenate((np.zeros(min(len(t), 1), np.int64), (t[1:] != t[:-1]).astype(np.int64))))
-    return ids[order], n[order], pos[order], comp[order], group
+    return ids[order], n[order], comp[order], group
 
 
-_PAIRS = "x long, y long, k long"
+_PAIRS = "x long, y long, nx long, ny long, k long"
 
 
-def _pairs(x: np.ndarray, y: np.ndarray, k: np.ndarray) -> pa.Table:
-    return pa.table({"x": pa.array(x, pa.int64()), "y": pa.array(y, pa.int64()), "k": pa.array(k, pa.int64())})
+def _counted(rows: list[np.ndarray]) -> pa.Table:
+    """Pairs (x, y, nx, ny) and how often each is there."""
+    both, count = np.unique(np.concatenate([np.empty((0, 4), np.int64), *rows]), axis=0, return_counts=True)
+    return pa.table({**{c: pa.array(both[:, i], pa.int64()) for i, c in enumerate(("x", "y", "nx", "ny"))}, "k": pa.array(count, pa.int64())})
 
 
 def _first_pairs(percent: int):
-    """For each class that meets others: (class, the smallest its size allows, how often); that one is itself if no other."""
+    """Each class that meets others and the smallest of them that its size allows."""
 
     def pairs(table: pa.Table) -> pa.Table:
-        ids, n, _, _, group = _meetings(table)
-        if not len(ids):
-            return _pairs(ids, ids, ids)
+        ids, n, _, group = _meetings(table)
         key = (group << 32) + n
-        lead = np.searchsorted(key, (group << 32) + -(-percent * n // 100))
-        both, count = np.unique(np.stack([ids, ids[lead]], 1), axis=0, return_counts=True)
-        return _pairs(both[:, 0], both[:, 1], count)
+        lead = np.searchsorted(key, (group << 32) + -(-percent * n // 100)) if len(ids) else ids
+        other = ids != ids[lead]
+        return _counted([np.stack([ids, ids[lead], n, n[lead]], 1)[other]])
 
     return pairs
 
 
 def _rest_pairs(percent: int):
-    """Pairs of classes in different components that meet and fit in size and position."""
+    """Pairs of classes in different components that meet and fit in size."""
 
     def pairs(table: pa.Table) -> pa.Table:
-        ids, n, pos, comp, group = _meetings(table)
-        found = [np.empty((0, 2), np.int64)]
+        ids, n, comp, group = _meetings(table)
+        found = []
         if len(ids):
             cut = np.append(np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1]))), len(ids))
             lowest, highest = np.minimum.reduceat(comp, cut[:-1]), np.maximum.reduceat(comp, cut[:-1])
-            held = 0
             for g in np.flatnonzero(lowest != highest).tolist():
                 at = np.arange(cut[g], cut[g + 1])
                 names, own, count = np.unique(comp[at], return_inverse=True, return_counts=True)
                 few = own != np.argmax(count)  # members of the largest component are only met by others
                 for i in np.flatnonzero(few).tolist():
-                    j = np.flatnonzero((own != own[i]) & (~few | (np.arange(len(at)) > i)))
+                    j = (own != own[i]) & (~few | (np.arange(len(at)) > i))
                     a, b = at[i], at[j]
-                    fits = (100 * np.minimum(n[a], n[b]) >= percent * np.maximum(n[a], n[b]))
-                    most = np.minimum(pos[a], pos[b]) + np.minimum(n[a] - pos[a], n[b] - pos[b])
-                    fits &= (100 + percent) * most >= percent * (n[a] + n[b])
-                    b = b[fits]
+                    b = b[100 * np.minimum(n[a], n[b]) >= percent * np.maximum(n[a], n[b])]
                     if len(b):
-                        found.append(np.stack([np.minimum(ids[a], ids[b]), np.maximum(ids[a], ids[b])], 1))
-                        held += len(b)
-                if held > 1_000_000:
-                    found, held = [np.unique(np.concatenate(found), axis=0)], 0
-        got = np.unique(np.concatenate(found), axis=0)
-        return _pairs(got[:, 0], got[:, 1], np.ones(len(got), np.int64))
+                        swap = ids[a] > ids[b]
+                        found.append(np.stack([np.where(swap, ids[b], ids[a]), np.where(swap, ids[a], ids[b]), np.where(swap, n[b], n[a]), np.where(swap, n[a], n[b])], 1))
+        return _counted(found)
 
     return pairs
 
 
+def _enough(percent: int) -> Column:
+    """Whether shingles met in the prefixes leave room for a link: what the prefixes don't show of
+    either set adds ``ceil(t * n) - 1`` at most."""
+    part = lambda n: F.ceil(F.col(n) * percent / F.lit(100))
+    return F.col("k") + F.greatest(part("nx"), part("ny")) - 1 >= F.ceil((F.col("nx") + F.col("ny")) * percent / F.lit(100 + percent))
+
+
 class PrefixTree:
     """Sorted lists in the order of a trie's leaves: with each list, how much of it is shared with
     the one before, so that a walk from leaf to leaf passes every branch once."""
@@ -322,18 +326,23 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     classes = materialise(some.groupBy("a", "b", "n").agg(F.min("doc_id").alias("id"), F.first("prefix").alias("prefix")), "classes")
     total = classes.agg(F.sum(F.length("prefix"))).first()[0] or 0
     buckets = max(LEAST_BUCKETS, -(-total // (8 << 20)))
-    rows = classes.select("id", "n", F.col("id").alias("comp"), "prefix")
-    met = rows.mapInArrow(_poster(buckets), _POSTINGS).groupBy("bucket").applyInArrow(_first_pairs(percent), _PAIRS)
-    met = materialise(met.groupBy("x", "y").agg(F.sum("k").alias("k")), "met")
-    need = materialise(met.select(F.col("x").alias("doc_id")).distinct(), "need")
-    wanted = F.broadcast(need) if need.count() <= BROADCAST_IDS else need
-    sets = materialise(docs.join(wanted, "doc_id", "left_semi").mapInArrow(_set_writer(width, hot), "id long, n int, s binary"), "sets")
-    first = met.filter("x <> y").groupBy("x").agg(F.max_by("y", F.struct("k", -F.col("y"))).alias("y"))
-    links = materialise(_verify(first, sets, percent), "links")
+
+    def candidates(rows: DataFrame, pairs) -> DataFrame:
+        met = rows.mapInArrow(_poster(buckets, percent), _POSTINGS).groupBy("bucket").applyInArrow(pairs(percent), _PAIRS)
+        return met.groupBy("x", "y", "nx", "ny").agg(F.sum("k").alias("k")).filter(_enough(percent))
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        pairs = materialise(pairs, "pairs")
+        need = materialise(pairs.select(F.explode(F.array("x", "y")).alias("doc_id")).distinct(), "need")
+        wanted = F.broadcast(need) if need.count() <= BROADCAST_IDS else need
+        sets = materialise(docs.join(wanted, "doc_id", "left_semi").mapInArrow(_set_writer(width, hot), "id long, n int, s binary"), "sets")
+        return materialise(_verify(pairs, sets, percent), "links")
+
+    first = candidates(classes.select("id", "n", F.lit(0).cast("long").alias("comp"), "prefix"), _first_pairs)
+    links = verified(first.groupBy("x").agg(F.max_by("y", F.struct("k", -F.col("y"))).alias("y")))
     found = components(links)
     rows = classes.join(found, "id", "left").select("id", "n", F.coalesce("comp", "id").alias("comp"), "prefix")
-    rest = rows.mapInArrow(_poster(buckets), _POSTINGS).groupBy("bucket").applyInArrow(_rest_pairs(percent), _PAIRS).select("x", "y").distinct()
-    more = materialise(_verify(materialise(rest, "rest"), sets, percent), "links")
+    more = verified(candidates(rows, _rest_pairs).select("x", "y"))
     if more.limit(1).count():
         found = components(links.unionByName(more))
     named = classes.select("a", "b", "n", F.col("id").alias("class_id")).join(found.withColumnRenamed("id", "class_id"), "class_id", "left")
