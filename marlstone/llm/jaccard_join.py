@@ -41,6 +41,8 @@ SHINGLE = 4
 #: Similarity in hundredths.
 PERCENT = 85
 HOT_LEAST = 48
+#: Rounds of one pair for each class before all the pairs that are left.
+ROUNDS = 2
 HOT_MOST = 200_000
 SLICE_BYTES = 4 << 20
 LEAST_BUCKETS = 32
@@ -342,9 +344,21 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     links = verified(first.groupBy("x").agg(F.max_by("y", F.struct("k", -F.col("y"))).alias("y")))
     found = components(links)
     rows = classes.join(found, "id", "left").select("id", "n", F.coalesce("comp", "id").alias("comp"), "prefix")
-    more = verified(candidates(rows, _rest_pairs).select("x", "y"))
-    if more.limit(1).count():
-        found = components(links.unionByName(more))
+    rest = materialise(candidates(rows, _rest_pairs).select("x", "y", "k"), "rest")
+    # a few more rounds of one pair for each class shrink what is left of large groups
+    for again in range(ROUNDS + 1):
+        left = rest
+        for c in "xy":
+            left = left.join(found.select(F.col("id").alias(c), F.col("comp").alias(f"c{c}")), c, "left").withColumn(f"c{c}", F.coalesce(f"c{c}", c))
+        rest = materialise(left.filter("cx <> cy").select("x", "y", "k"), "rest")
+        pairs = rest.groupBy("x").agg(F.max_by("y", F.struct("k", -F.col("y"))).alias("y")) if again < ROUNDS else rest.select("x", "y")
+        more = verified(pairs)
+        if not more.limit(1).count():
+            if again < ROUNDS:
+                rest = rest.join(pairs, ["x", "y"], "left_anti")
+            continue
+        links = materialise(links.unionByName(more), "links")
+        found = components(links)
     named = classes.select("a", "b", "n", F.col("id").alias("class_id")).join(found.withColumnRenamed("id", "class_id"), "class_id", "left")
     named = named.select("a", "b", "n", "class_id", F.coalesce("comp", "class_id").alias("comp"))
     out = signed.select("doc_id", "n", "a", "b").join(named, ["a", "b", "n"], "left")
