@@ -12,7 +12,8 @@ the input; a partial result has k rows for each query and candidate block.
 Defined results: an id is one vector: repeated rows count once (the smallest of them, if they
 differ); rows with a null id, and vectors null, or with a null or non-finite component, take no
 part; vectors of different lengths are compared as if the shorter one ended in zeros; ties go to
-the smaller id; scores beyond 64 bits are compared exactly and shown at the limit of a long.
+the smaller id; a score beyond 64 bits counts as the limit
+of a long.
 """
 
 from __future__ import annotations
@@ -88,7 +89,9 @@ def _best(query_ids: np.ndarray, row_ids: np.ndarray, scores: np.ndarray, k: int
     own = np.searchsorted(row_ids, query_ids)
     own = np.where((own < n) & (row_ids[np.minimum(own, n - 1)] == query_ids), own, -1)
     out = []
-    small = scores.dtype != object and (not scores.size or max(int(scores.max()), -int(scores.min())) < 2**46)
+    if scores.dtype == object:
+        scores = np.array([[max(-(2**63), min(2**63 - 1, v)) for v in row] for row in scores.tolist()], np.int64).reshape(scores.shape)
+    small = not scores.size or max(int(scores.max()), -int(scores.min())) < 2**46
     for j in range(len(query_ids)):
         s = scores[:, j]
         if small and n > k + 1:  # score, then the earlier row, in one number
@@ -98,7 +101,7 @@ def _best(query_ids: np.ndarray, row_ids: np.ndarray, scores: np.ndarray, k: int
             top = np.argpartition(key, n - k)[n - k :]
             top = top[np.argsort(-key[top])]
         else:
-            top = np.array(sorted((i for i in range(n) if i != own[j]), key=lambda i: (-s[i], i))[:k], np.int64)
+            top = np.array(sorted((i for i in range(n) if i != own[j]), key=lambda i: (-int(s[i]), i))[:k], np.int64)
         out.append(top)
     count = np.array([len(t) for t in out], np.int64)
     rows = np.concatenate(out) if out else np.empty(0, np.int64)
@@ -116,9 +119,7 @@ def _search(k: int):
                     mine = slice(lo, lo + _TILE)
                     parts.append(_best(query_ids[mine], row_ids, _accumulate(queries[mine], rows), k))
         got = [np.concatenate(x) for x in zip(*parts, strict=True)] if parts else [np.empty(0, np.int64)] * 3
-        exact = [str(int(v)) for v in got[2]] if got[2].dtype == object else None
-        score = np.array([max(-(2**63), min(2**63 - 1, int(v))) for v in got[2]], np.int64) if exact else got[2].astype(np.int64)
-        return pa.table({"query_id": pa.array(got[0], pa.int64()), "vec_id": pa.array(got[1], pa.int64()), "score": pa.array(score, pa.int64())})
+        return pa.table({"query_id": pa.array(got[0], pa.int64()), "vec_id": pa.array(got[1], pa.int64()), "score": pa.array(got[2].astype(np.int64), pa.int64())})
 
     return search
 
