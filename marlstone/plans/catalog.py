@@ -32,6 +32,8 @@ def _sql(name: str, spark_sql: str, oracle: str | None = None) -> None:
     names = sorted(set(_TABLE.findall(spark_sql)))
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        if not names:  # then Spark doesn't format the text, and braces are not doubled
+            return spark.sql(spark_sql.replace("{{", "{").replace("}}", "}"))
         return spark.sql(spark_sql, **{n: table(spark, sf_dir, n) for n in names})
 
     QUERIES[name] = run
