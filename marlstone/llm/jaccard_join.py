@@ -42,7 +42,7 @@ SHINGLE = 4
 PERCENT = 85
 HOT_LEAST = 48
 #: Rounds of one pair for each class before all the pairs that are left.
-ROUNDS = 2
+ROUNDS = 0
 HOT_MOST = 200_000
 SLICE_BYTES = 4 << 20
 LEAST_BUCKETS = 32
