@@ -5,8 +5,9 @@ the rest by hash. Two sets with Jaccard >= t have a shingle in common among the
 ``n - ceil(t * n) + 1`` of either, so only such prefixes are indexed.
 
 1. Sets that are equal become one class; everything below works on classes.
-2. Prefix shingles are dealt to buckets. Where several classes meet at a shingle, each names the
-   smallest that its size allows; it then keeps the one it met most often. That is one pair a class.
+2. Prefix shingles are dealt to buckets. Where several classes meet at a shingle, each names a few
+   that its size allows: the smallest, the least edited, its neighbour. It then keeps the
+   ``PARTNERS`` it named most often, so these pairs grow with the classes only.
 3. Pairs are verified by prefix tree: the lists to compare with one class form a tree in which equal
    beginnings share their partial overlap, and a branch is left as soon as what remains of the
    lists can't reach the overlap needed. Links join classes into components.
@@ -35,14 +36,14 @@ from pyspark.sql import functions as F
 
 from . import bytesplanes as planes
 from . import flatwords as fw
-from .workspace import materialise
+from .workspace import discard, materialise
 
 SHINGLE = 4
 #: Similarity in hundredths.
 PERCENT = 85
 HOT_LEAST = 48
-#: Rounds of one pair for each class before all the pairs that are left.
-ROUNDS = 0
+#: Partners that a class is first compared with, before all that are left.
+PARTNERS = 3
 HOT_MOST = 200_000
 SLICE_BYTES = 4 << 20
 LEAST_BUCKETS = 32
@@ -106,14 +107,16 @@ def _hot_counter(width: int):
 def _signer(width: int, percent: int, hot):
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, texts in _chunks(batches):
-            n, a, b, prefix = [], [], [], []
+            n, rare, a, b, prefix = [], [], [], [], []
             with np.errstate(over="ignore"):
                 for s in _sets(texts, width):
                     n.append(len(s))
                     a.append(int(fw.mix(s).sum(dtype=np.uint64).astype(np.int64)))
                     b.append(int(fw.mix(s ^ np.uint64(0x5DEECE66D)).sum(dtype=np.uint64).astype(np.int64)))
-                    prefix.append(planes.pack_sorted(_ordered(s, hot.value)[: _prefix(len(s), percent)] >> _CUT))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(prefix, pa.binary())], ["doc_id", "n", "a", "b", "prefix"])
+                    s = _ordered(s, hot.value)
+                    rare.append(int(np.searchsorted(s, _TOP)))
+                    prefix.append(planes.pack_sorted(s[: _prefix(len(s), percent)] >> _CUT))
+            yield pa.RecordBatch.from_arrays([*(pa.array(v, pa.int64()) for v in (ids, n, rare, a, b)), pa.array(prefix, pa.binary())], ["doc_id", "n", "rare", "a", "b", "prefix"])
 
     return sign
 
@@ -187,14 +190,31 @@ def _counted(rows: list[np.ndarray]) -> pa.Table:
 
 
 def _first_pairs(percent: int):
-    """Each class that meets others and the smallest of them that its size allows."""
+    """Each class that meets others, with a few of them that its size allows: the smallest, those
+    with the fewest rare shingles (in a group of near copies the least edited ones, which most
+    others link with) and its neighbour in that order."""
 
     def pairs(table: pa.Table) -> pa.Table:
-        ids, n, _, group = _meetings(table)
+        ids, n, rare, group = _meetings(table)
+        if not len(ids):
+            return _counted([])
         key = (group << 32) + n
-        lead = np.searchsorted(key, (group << 32) + -(-percent * n // 100)) if len(ids) else ids
-        other = ids != ids[lead]
-        return _counted([np.stack([ids, ids[lead], n, n[lead]], 1)[other]])
+        found = [(np.arange(len(ids)), np.searchsorted(key, (group << 32) + -(-percent * n // 100)))]
+        order = np.lexsort((ids, n, rare, group))
+        start = np.searchsorted(group, group)
+        at = np.arange(len(ids))
+        for k in range(PARTNERS):
+            there = np.flatnonzero(group[np.minimum(start + k, len(ids) - 1)] == group)
+            there = there[start[there] + k < len(ids)]
+            found.append((order[there], order[start[there] + k]))
+        later = at[at > start]
+        found.append((order[later], order[later - 1]))
+        x, y = np.concatenate([a for a, _ in found]), np.concatenate([b for _, b in found])
+        fit = (ids[x] != ids[y]) & (100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y]))
+        x, y = x[fit], y[fit]
+        both = np.unique(np.stack([x, y], 1), axis=0)  # one shingle proposes a pair once
+        x, y = both[:, 0], both[:, 1]
+        return _counted([np.stack([ids[x], ids[y], n[x], n[y]], 1)])
 
     return pairs
 
@@ -295,14 +315,17 @@ def components(links: DataFrame) -> DataFrame:
     """``(id, comp)`` for every id in a link ``(a, b)``; comp is the smallest id it reaches."""
     both = links.filter("a <> b").select("a", "b")
     both = materialise(both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
-    labels = materialise(both.groupBy(F.col("a").alias("id")).agg(F.least("id", F.min("b")).alias("comp")), "labels")
+    labels = before = materialise(both.groupBy(F.col("a").alias("id")).agg(F.least("id", F.min("b")).alias("comp")), "labels")
     while True:
         near = both.join(labels.select(F.col("id").alias("b"), "comp"), "b").groupBy(F.col("a").alias("id")).agg(F.min("comp").alias("near"))
         low = labels.join(near, "id").select("id", F.col("comp").alias("old"), F.least("comp", "near").alias("low"))
         jump = labels.select(F.col("id").alias("low"), F.col("comp").alias("far"))
         new = materialise(low.join(jump, "low").select("id", "old", F.least("low", "far").alias("comp")), "labels")
         labels = new.select("id", "comp")
+        discard(before)
+        before = new
         if not new.filter("comp <> old").limit(1).count():
+            discard(both)
             return labels
 
 
@@ -323,40 +346,34 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     often = docs.mapInArrow(_hot_counter(width), "s long, n long").groupBy("s").agg(F.sum("n").alias("n")).filter(F.col("n") >= HOT_LEAST)
     hot = np.sort(np.array([r["s"] for r in often.orderBy(F.col("n").desc(), "s").limit(HOT_MOST).select("s").collect()], np.int64).view(np.uint64))
     hot = spark.sparkContext.broadcast(hot)
-    signed = materialise(docs.mapInArrow(_signer(width, percent, hot), "doc_id long, n long, a long, b long, prefix binary"), "signed")
+    signed = materialise(docs.mapInArrow(_signer(width, percent, hot), "doc_id long, n long, rare long, a long, b long, prefix binary"), "signed")
     some = signed.filter("n > 0 AND doc_id IS NOT NULL")
-    classes = materialise(some.groupBy("a", "b", "n").agg(F.min("doc_id").alias("id"), F.first("prefix").alias("prefix")), "classes")
+    classes = materialise(some.groupBy("a", "b", "n").agg(F.min("doc_id").alias("id"), F.first("rare").alias("rare"), F.first("prefix").alias("prefix")), "classes")
     total = classes.agg(F.sum(F.length("prefix"))).first()[0] or 0
     buckets = max(LEAST_BUCKETS, -(-total // (8 << 20)))
 
-    def candidates(rows: DataFrame, pairs) -> DataFrame:
-        met = rows.mapInArrow(_poster(buckets, percent), _POSTINGS).groupBy("bucket").applyInArrow(pairs(percent), _PAIRS)
-        return met.groupBy("x", "y", "nx", "ny").agg(F.sum("k").alias("k")).filter(_enough(percent))
+    def met(rows: DataFrame, pairs) -> DataFrame:
+        found = rows.mapInArrow(_poster(buckets, percent), _POSTINGS).groupBy("bucket").applyInArrow(pairs(percent), _PAIRS)
+        return found.groupBy("x", "y", "nx", "ny").agg(F.sum("k").alias("k"))
 
     def verified(pairs: DataFrame) -> DataFrame:
         pairs = materialise(pairs, "pairs")
         need = materialise(pairs.select(F.explode(F.array("x", "y")).alias("doc_id")).distinct(), "need")
         wanted = F.broadcast(need) if need.count() <= BROADCAST_IDS else need
         sets = materialise(docs.join(wanted, "doc_id", "left_semi").mapInArrow(_set_writer(width, hot), "id long, n int, s binary"), "sets")
-        return materialise(_verify(pairs, sets, percent), "links")
-
-    first = candidates(classes.select("id", "n", F.lit(0).cast("long").alias("comp"), "prefix"), _first_pairs)
-    links = verified(first.groupBy("x").agg(F.max_by("y", F.struct("k", -F.col("y"))).alias("y")))
+        links = materialise(_verify(pairs, sets, percent), "links")
+        discard(pairs, need, sets)
+        return links
+
+    # a shingle names few partners, so k may fall short of the meetings; what this leaves out the last step finds
+    first = met(classes.select("id", "n", "rare", "prefix"), _first_pairs).filter(_enough(percent))
+    best = first.groupBy("x").agg(F.slice(F.sort_array(F.collect_list(F.struct("k", -F.col("y"))), False), 1, PARTNERS).alias("best"))
+    best = best.select("x", F.explode("best").alias("b")).select("x", (-F.col("b.col2")).alias("y"))
+    links = verified(best.select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).distinct())
     found = components(links)
     rows = classes.join(found, "id", "left").select("id", "n", F.coalesce("comp", "id").alias("comp"), "prefix")
-    rest = materialise(candidates(rows, _rest_pairs).select("x", "y", "k"), "rest")
-    # a few more rounds of one pair for each class shrink what is left of large groups
-    for again in range(ROUNDS + 1):
-        left = rest
-        for c in "xy":
-            left = left.join(found.select(F.col("id").alias(c), F.col("comp").alias(f"c{c}")), c, "left").withColumn(f"c{c}", F.coalesce(f"c{c}", c))
-        rest = materialise(left.filter("cx <> cy").select("x", "y", "k"), "rest")
-        pairs = rest.groupBy("x").agg(F.max_by("y", F.struct("k", -F.col("y"))).alias("y")) if again < ROUNDS else rest.select("x", "y")
-        more = verified(pairs)
-        if not more.limit(1).count():
-            if again < ROUNDS:
-                rest = rest.join(pairs, ["x", "y"], "left_anti")
-            continue
+    more = verified(met(rows, _rest_pairs).filter(_enough(percent)).select("x", "y"))
+    if more.limit(1).count():
         links = materialise(links.unionByName(more), "links")
         found = components(links)
     named = classes.select("a", "b", "n", F.col("id").alias("class_id")).join(found.withColumnRenamed("id", "class_id"), "class_id", "left")

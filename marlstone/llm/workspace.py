@@ -31,7 +31,15 @@ def materialise(df: DataFrame, name: str, partition_by: list[str] | None = None)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    stored = spark.read.schema(df.schema).parquet(path)
+    stored.stored_at = path
+    return stored
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove tables of ``materialise`` that nothing reads any more."""
+    for df in tables:
+        drop_path(df.sparkSession, df.stored_at)
 
 
 def drop_path(spark: SparkSession, path: str) -> None:
