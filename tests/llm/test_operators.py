@@ -100,6 +100,23 @@ def test_jaccard_groups(spark):
     assert got == groups(rows, 4, 85)
 
 
+def test_jaccard_groups_of_many_near_copies(spark):
+    """Shingles beyond ``HOT_LEAST`` documents, copies on both sides of the threshold, and a passage in
+    texts that have nothing else in common."""
+    r = random.Random(5)
+    base, passage = [f"v{i}" for i in range(120)], [f"p{i}" for i in range(30)]
+    rows = []
+    for k in range(70):
+        w = list(base)
+        for _ in range(k % 7):
+            w[r.randrange(120)] = f"z{k}x{r.random()}"
+        rows.append((k, " ".join(w), "a", "x", 1))
+    rows += [(1000 + k, " ".join(passage + [f"u{k}y{j}" for j in range(3 + k % 40)]), "a", "x", 1) for k in range(20)]
+    r.shuffle(rows)
+    got = {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in jaccard_groups(frame(spark, rows)).collect()}
+    assert got == groups(rows, 4, 85)
+
+
 def test_prefix_tree():
     r = np.random.default_rng(2)
     lists = [np.unique(r.integers(0, 60, r.integers(1, 60))).astype(np.uint64) for _ in range(200)]
