@@ -1,0 +1,88 @@
+"""Rules over parsed pages; each yields findings ``(check, path, detail)``.
+
+Pages have ``path``, ``folder``, ``stem``, ``text`` and ``page`` (see ``functions.markdown``). A page
+whose frontmatter fails has that one finding and no others of its own.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from marlstone.operators import links
+
+# Fixed values.
+CONFIDENCE = ("high", "medium", "low", "contested")
+AUTHORITY_KIND = ("raw-source", "source-page", "owner-page", "external-url", "local-resource", "mixed", "none")
+AUTHORITY_FRESHNESS = ("immutable-source", "stable-meaning", "current-state", "event-log", "predictive", "deprecated")
+BASE_KEYS = ("title", "type", "created", "updated", "sources", "tags", "confidence")
+DATE_KEYS = ("created", "updated", "review_by")
+KEBAB = "^[a-z0-9]+(-[a-z0-9]+)*$"
+DATED = r"^\d{4}-\d{2}-\d{2}"
+#: Findings of one check that a report lists.
+REPORT_ROWS = 25
+
+
+def _fm(key: str) -> Column:
+    return F.col("page.fm")[key]
+
+
+def _when(pages: DataFrame, check: str, bad: Column, detail: Column) -> DataFrame:
+    return pages.filter(bad).select(F.lit(check).alias("check"), "path", detail.cast("string").alias("detail"))
+
+
+def _enum(pages: DataFrame, check: str, key: str, allowed: tuple[str, ...]) -> DataFrame:
+    value = _fm(key)
+    return _when(pages, check, value.isNotNull() & ~value.isin(*allowed), F.concat(F.lit(f"{key}: "), value))
+
+
+def page_findings(pages: DataFrame) -> DataFrame:
+    """Findings that need no other page."""
+    failed = F.col("page.fm").isNull()
+    good = pages.filter(~failed)
+    missing = F.array_except(F.array(*map(F.lit, BASE_KEYS)), F.map_keys("page.fm"))
+    dates = good.select("path", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), _fm(k).alias("v")) for k in DATE_KEYS])).alias("d")).select("path", "d.k", "d.v")
+    shaped = F.col("v").rlike(r"^\d{4}-\d{2}-\d{2}$") & F.try_to_timestamp("v", F.lit("yyyy-MM-dd")).isNotNull()
+    anchored = F.arrays_overlap(F.map_keys("page.fm"), F.array(*map(F.lit, ("authority_ref", "authority_freshness", "verify_before_action", "last_verified"))))
+    found = [
+        _when(pages, "filename", ~F.col("stem").rlike(KEBAB), F.concat(F.lit("not kebab case: "), "stem")),
+        _when(pages, "filename", F.col("stem").rlike(DATED), F.concat(F.lit("date prefix: "), "stem")),
+        _when(pages, "frontmatter", failed, F.coalesce("page.fm_error", F.lit("no frontmatter"))),
+        _when(good, "frontmatter", F.size(missing) > 0, F.concat(F.lit("missing: "), F.array_join(missing, ", "))),
+        _enum(good, "confidence", "confidence", CONFIDENCE),
+        _enum(good, "authority-field-values", "authority_kind", AUTHORITY_KIND),
+        _enum(good, "authority-field-values", "authority_freshness", AUTHORITY_FRESHNESS),
+        _when(good, "authority-kind-anchor", anchored & _fm("authority_kind").isNull(), F.lit("authority field without a kind")),
+        _when(good, "predictive-review-enrollment", (_fm("authority_freshness") == "predictive") & _fm("review_by").isNull(), F.lit("predictive without review_by")),
+        _when(dates, "date", F.col("v").isNotNull() & ~F.coalesce(shaped, F.lit(False)), F.concat("k", F.lit(": "), "v")),
+        _when(good, "open-questions", (F.col("folder") != "sources") & ~F.col("text").rlike("(?m)^##+ Open [Qq]uestions"), F.lit("no open questions")),
+    ]
+    out = found[0]
+    for df in found[1:]:
+        out = out.unionByName(df)
+    return out
+
+
+def set_findings(pages: DataFrame) -> DataFrame:
+    """Findings that need all pages: links to no page, and stems of several pages."""
+    good = pages.filter(F.col("page.fm").isNotNull())
+    gone = links.edges(good).join(pages.select(F.col("stem").alias("slug")), "slug", "left_anti")
+    shared = pages.groupBy("stem").agg(F.array_sort(F.collect_list("path")).alias("all")).filter(F.size("all") > 1)
+    return gone.select(F.lit("dangling-link").alias("check"), F.col("src").alias("path"), F.col("slug").alias("detail")).unionByName(
+        shared.select(F.lit("duplicate-stem").alias("check"), F.explode("all").alias("path"), F.array_join("all", ", ").alias("detail"))
+    )
+
+
+def findings(pages: DataFrame) -> DataFrame:
+    """All findings, each once."""
+    return page_findings(pages).unionByName(set_findings(pages)).distinct()
+
+
+def summary(found: DataFrame) -> DataFrame:
+    """``(check, n_findings, listed)``: how many, and the first ``REPORT_ROWS`` by path and detail."""
+    from pyspark.sql import Window
+
+    order = Window.partitionBy("check").orderBy("path", "detail")
+    first = found.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= REPORT_ROWS)
+    listed = first.groupBy("check").agg(F.array_sort(F.collect_list(F.struct("path", "detail"))).alias("listed"))
+    return found.groupBy("check").agg(F.count(F.lit(1)).alias("n_findings")).join(listed, "check")
