@@ -8,11 +8,14 @@ the rest by hash. Two sets with Jaccard >= t have a shingle in common among the
 2. Prefix shingles are dealt to buckets. Where several classes meet at a shingle, each names a few
    that its size allows: the smallest, the least edited, its neighbour. It then keeps the
    ``PARTNERS`` it named most often, so these pairs grow with the classes only.
-3. Pairs are verified by prefix tree: the lists to compare with one class form a tree in which equal
+3. Each class has a bitmap of its whole set, one or two bits a shingle. What one bitmap has and the
+   other lacks bounds the overlap from above; pairs that it rules out (a shared passage and little
+   else) go before their sets are read.
+4. Pairs are verified by prefix tree: the lists to compare with one class form a tree in which equal
    beginnings share their partial overlap, and a branch is left as soon as what remains of the
    lists can't reach the overlap needed. Links join classes into components.
-4. The buckets are read again with the components. Every pair of classes in different
-   components that meet often enough for a link (what a prefix doesn't show is bounded) is verified likewise. Pairs inside one
+5. The buckets are read again with the components. Every pair of classes in different
+   components that meet often enough for a link (what a prefix doesn't show is bounded) is judged likewise. Pairs inside one
    component can't change it, so a group of thousands of copies never makes all its pairs; every
    pair across components is judged, and no link between different components is missed.
 
@@ -93,6 +96,33 @@ def _prefix(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1 if n else 0
 
 
+def _bitmap(s: np.ndarray) -> bytes:
+    """A bit for the low bits of each shingle, in a power of two of at least as many bits as shingles."""
+    size = 1 << max(6, (len(s) - 1).bit_length())
+    bits = np.zeros(size, bool)
+    bits[s & np.uint64(size - 1)] = True
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
+def _may_link(nx: int, ny: int, bx: bytes, by: bytes, percent: int) -> bool:
+    """Whether the bitmaps leave room for a link; the larger one is folded to the smaller's size."""
+    x, y = np.frombuffer(bx, np.uint8), np.frombuffer(by, np.uint8)
+    least = min(len(x), len(y))
+    x, y = (np.bitwise_or.reduce(b.reshape(-1, least)) for b in (x, y))
+    only_x, only_y = (int(np.bitwise_count(b).sum()) for b in (x & ~y, y & ~x))
+    return min(nx - only_x, ny - only_y) * (100 + percent) >= percent * (nx + ny)
+
+
+def _bitmap_filter(percent: int):
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = zip(*[batch.column(c).to_pylist() for c in ("nx", "ny", "bx", "by")], strict=True)
+            fit = pa.array([_may_link(*row, percent) for row in rows], pa.bool_())
+            yield batch.select(["x", "y"]).filter(fit)
+
+    return keep
+
+
 def _hot_counter(width: int):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, texts in _chunks(batches):
@@ -107,16 +137,17 @@ def _hot_counter(width: int):
 def _signer(width: int, percent: int, hot):
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, texts in _chunks(batches):
-            n, rare, a, b, prefix = [], [], [], [], []
+            n, rare, a, b, bits, prefix = [], [], [], [], [], []
             with np.errstate(over="ignore"):
                 for s in _sets(texts, width):
                     n.append(len(s))
                     a.append(int(fw.mix(s).sum(dtype=np.uint64).astype(np.int64)))
                     b.append(int(fw.mix(s ^ np.uint64(0x5DEECE66D)).sum(dtype=np.uint64).astype(np.int64)))
+                    bits.append(_bitmap(s))
                     s = _ordered(s, hot.value)
                     rare.append(int(np.searchsorted(s, _TOP)))
                     prefix.append(planes.pack_sorted(s[: _prefix(len(s), percent)] >> _CUT))
-            yield pa.RecordBatch.from_arrays([*(pa.array(v, pa.int64()) for v in (ids, n, rare, a, b)), pa.array(prefix, pa.binary())], ["doc_id", "n", "rare", "a", "b", "prefix"])
+            yield pa.RecordBatch.from_arrays([*(pa.array(v, pa.int64()) for v in (ids, n, rare, a, b)), pa.array(bits, pa.binary()), pa.array(prefix, pa.binary())], ["doc_id", "n", "rare", "a", "b", "bits", "prefix"])
 
     return sign
 
@@ -346,9 +377,9 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     often = docs.mapInArrow(_hot_counter(width), "s long, n long").groupBy("s").agg(F.sum("n").alias("n")).filter(F.col("n") >= HOT_LEAST)
     hot = np.sort(np.array([r["s"] for r in often.orderBy(F.col("n").desc(), "s").limit(HOT_MOST).select("s").collect()], np.int64).view(np.uint64))
     hot = spark.sparkContext.broadcast(hot)
-    signed = materialise(docs.mapInArrow(_signer(width, percent, hot), "doc_id long, n long, rare long, a long, b long, prefix binary"), "signed")
+    signed = materialise(docs.mapInArrow(_signer(width, percent, hot), "doc_id long, n long, rare long, a long, b long, bits binary, prefix binary"), "signed")
     some = signed.filter("n > 0 AND doc_id IS NOT NULL")
-    classes = materialise(some.groupBy("a", "b", "n").agg(F.min("doc_id").alias("id"), F.first("rare").alias("rare"), F.first("prefix").alias("prefix")), "classes")
+    classes = materialise(some.groupBy("a", "b", "n").agg(F.min("doc_id").alias("id"), F.first("rare").alias("rare"), F.first("bits").alias("bits"), F.first("prefix").alias("prefix")), "classes")
     total = classes.agg(F.sum(F.length("prefix"))).first()[0] or 0
     buckets = max(LEAST_BUCKETS, -(-total // (8 << 20)))
 
@@ -357,7 +388,9 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return found.groupBy("x", "y", "nx", "ny").agg(F.sum("k").alias("k"))
 
     def verified(pairs: DataFrame) -> DataFrame:
-        pairs = materialise(pairs, "pairs")
+        for c in ("x", "y"):
+            pairs = pairs.join(classes.select(F.col("id").alias(c), F.col("n").alias("n" + c), F.col("bits").alias("b" + c)).hint("merge"), c)
+        pairs = materialise(pairs.mapInArrow(_bitmap_filter(percent), "x long, y long"), "pairs")
         need = materialise(pairs.select(F.explode(F.array("x", "y")).alias("doc_id")).distinct(), "need")
         wanted = F.broadcast(need) if need.count() <= BROADCAST_IDS else need
         sets = materialise(docs.join(wanted, "doc_id", "left_semi").mapInArrow(_set_writer(width, hot), "id long, n int, s binary"), "sets")

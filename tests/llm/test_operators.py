@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from marlstone.llm import flatwords as fw
 from marlstone.llm import toxicity
 from marlstone.llm.decontaminate import decontaminate, find_leaks
-from marlstone.llm.jaccard_join import PrefixTree, jaccard_groups
+from marlstone.llm.jaccard_join import PrefixTree, _bitmap, _may_link, jaccard_groups
 from marlstone.llm.license_scan import license_scan
 from marlstone.llm.line_dedup import line_dedup
 from marlstone.llm.piece_bpe import PieceModel, encode_decode
@@ -117,6 +117,20 @@ def test_jaccard_groups_of_many_near_copies(spark):
     assert got == groups(rows, 4, 85)
 
 
+def test_bitmaps_never_rule_out_a_link():
+    rng = np.random.default_rng(5)
+    ruled_out = 0
+    for _ in range(400):
+        x = np.unique(rng.integers(0, 1 << 63, rng.integers(1, 300), dtype=np.uint64))
+        kept = x[rng.random(len(x)) < rng.choice([0.5, 0.85, 0.92, 0.99])]
+        y = np.union1d(kept, rng.integers(0, 1 << 63, rng.integers(1, 30), dtype=np.uint64))
+        linked = 100 * len(np.intersect1d(x, y)) >= 85 * len(np.union1d(x, y))
+        may = _may_link(len(x), len(y), _bitmap(x), _bitmap(y), 85)
+        assert may or not linked
+        ruled_out += not may
+    assert ruled_out > 100
+
+
 def test_prefix_tree():
     r = np.random.default_rng(2)
     lists = [np.unique(r.integers(0, 60, r.integers(1, 60))).astype(np.uint64) for _ in range(200)]
