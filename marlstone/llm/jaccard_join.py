@@ -14,7 +14,7 @@ the rest by hash. Two sets with Jaccard >= t have a shingle in common among the
 4. Pairs are verified by prefix tree: the lists to compare with one class form a tree in which equal
    beginnings share their partial overlap, and a branch is left as soon as what remains of the
    lists can't reach the overlap needed. Links join classes into components.
-5. The buckets are read again with the components. Every pair of classes in different
+5. The buckets are read again with the components, without classes that met no other. Every pair of classes in different
    components that meet often enough for a link (what a prefix doesn't show is bounded) is judged likewise. Pairs inside one
    component can't change it, so a group of thousands of copies never makes all its pairs; every
    pair across components is judged, and no link between different components is missed.
@@ -152,14 +152,14 @@ def _signer(width: int, percent: int, hot):
     return sign
 
 
-_POSTINGS = "bucket int, m int, token binary, id binary, n binary, comp binary"
-_POSTING_SCHEMA = pa.schema([("bucket", pa.int32()), ("m", pa.int32()), *[(k, pa.binary()) for k in ("token", "id", "n", "comp")]])
+_POSTINGS = "bucket int, m int, token binary, id binary, n binary, comp binary, meets binary"
+_POSTING_SCHEMA = pa.schema([("bucket", pa.int32()), ("m", pa.int32()), *[(k, pa.binary()) for k in ("token", "id", "n", "comp", "meets")]])
 
 
 def _poster(buckets: int, percent: int):
     """Prefix shingles of many classes, a row for each bucket."""
 
-    def flush(ids, ns, comps, prefixes) -> pa.RecordBatch:
+    def flush(ids, ns, comps, meets, prefixes) -> pa.RecordBatch:
         tokens = [planes.unpack_sorted(p, _prefix(n, percent)) for p, n in zip(prefixes, ns, strict=True)]
         size = np.array([len(t) for t in tokens])
         token = np.concatenate(tokens)
@@ -169,24 +169,24 @@ def _poster(buckets: int, percent: int):
         order = np.lexsort((token, bucket))
         cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
         rows = []
-        ids, ns, comps = np.array(ids, np.int64), np.array(ns, np.int64), np.array(comps, np.int64)
+        ids, ns, comps, meets = (np.array(v, np.int64) for v in (ids, ns, comps, meets))
         for b in np.flatnonzero(np.diff(cut)).tolist():
             i = order[cut[b] : cut[b + 1]]
             w = who[i]
-            rows.append({"bucket": b, "m": len(i), "token": planes.pack_sorted(token[i]), "id": planes.pack(ids[w].view(np.uint64)), "n": planes.pack(ns[w]), "comp": planes.pack(comps[w].view(np.uint64))})
+            rows.append({"bucket": b, "m": len(i), "token": planes.pack_sorted(token[i]), "id": planes.pack(ids[w].view(np.uint64)), "n": planes.pack(ns[w]), "comp": planes.pack(comps[w].view(np.uint64)), "meets": planes.pack(meets[w])})
         return pa.RecordBatch.from_pylist(rows, _POSTING_SCHEMA)
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list] = [[], [], [], []]
+        held: list[list] = [[], [], [], [], []]
         size = 0
         for batch in batches:
-            for row in zip(*[batch.column(i).to_pylist() for i in range(4)], strict=True):
+            for row in zip(*[batch.column(i).to_pylist() for i in range(5)], strict=True):
                 for h, v in zip(held, row, strict=True):
                     h.append(v)
-                size += len(row[3])
+                size += len(row[4])
                 if size > 2 << 20:
                     yield flush(*held)
-                    held, size = [[], [], [], []], 0
+                    held, size = [[], [], [], [], []], 0
         if size:
             yield flush(*held)
 
@@ -199,7 +199,7 @@ def _meetings(table: pa.Table) -> tuple[np.ndarray, ...]:
     rows = table.to_pylist()
     token = np.concatenate([planes.unpack_sorted(r["token"], r["m"]) for r in rows])
     get = lambda k: np.concatenate([planes.unpack(r[k], r["m"]).view(np.int64) for r in rows])
-    ids, n, comp = get("id"), get("n"), get("comp")
+    ids, n, comp, meets = get("id"), get("n"), get("comp"), get("meets")
     order = np.argsort(token, kind="stable")
     t = token[order]
     new = np.concatenate(([True], t[1:] != t[:-1]))
@@ -208,7 +208,7 @@ def _meetings(table: pa.Table) -> tuple[np.ndarray, ...]:
     order = order[np.lexsort((ids[order], n[order], token[order]))]
     t = token[order]
     group = np.cumsum(np.concatenate((np.zeros(min(len(t), 1), np.int64), (t[1:] != t[:-1]).astype(np.int64))))
-    return ids[order], n[order], comp[order], group
+    return ids[order], n[order], comp[order], meets[order], group
 
 
 _PAIRS = "x long, y long, nx long, ny long, k long"
@@ -220,13 +220,24 @@ def _counted(rows: list[np.ndarray]) -> pa.Table:
     return pa.table({**{c: pa.array(both[:, i], pa.int64()) for i, c in enumerate(("x", "y", "nx", "ny"))}, "k": pa.array(count, pa.int64())})
 
 
+#: In place of a partner, in rows that count a class's shingles at which it meets any other.
+_ANY = -(1 << 63)
+
+
+def _needed(percent: int, nx, ny):
+    """Shingles that two linked sets must share in their prefixes: what those don't show of either
+    set adds ``ceil(t * n) - 1`` at most."""
+    part = [-(-percent * n // 100) for n in (nx, ny)]
+    return -(-percent * (nx + ny) // (100 + percent)) - np.maximum(*part) + 1
+
+
 def _first_pairs(percent: int):
     """Each class that meets others, with a few of them that its size allows: the smallest, those
     with the fewest rare shingles (in a group of near copies the least edited ones, which most
     others link with) and its neighbour in that order."""
 
     def pairs(table: pa.Table) -> pa.Table:
-        ids, n, rare, group = _meetings(table)
+        ids, n, rare, _, group = _meetings(table)
         if not len(ids):
             return _counted([])
         key = (group << 32) + n
@@ -245,16 +256,18 @@ def _first_pairs(percent: int):
         x, y = x[fit], y[fit]
         both = np.unique(np.stack([x, y], 1), axis=0)  # one shingle proposes a pair once
         x, y = both[:, 0], both[:, 1]
-        return _counted([np.stack([ids[x], ids[y], n[x], n[y]], 1)])
+        zero = np.zeros_like(n)
+        return _counted([np.stack([ids[x], ids[y], n[x], n[y]], 1), np.stack([ids, zero + _ANY, n, zero], 1)])
 
     return pairs
 
 
 def _rest_pairs(percent: int):
-    """Pairs of classes in different components that meet and fit in size."""
+    """Pairs of classes in different components that meet, fit in size, and each meet others at as
+    many shingles as a link between the two needs."""
 
     def pairs(table: pa.Table) -> pa.Table:
-        ids, n, comp, group = _meetings(table)
+        ids, n, comp, meets, group = _meetings(table)
         found = []
         if len(ids):
             cut = np.append(np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1]))), len(ids))
@@ -266,7 +279,7 @@ def _rest_pairs(percent: int):
                 for i in np.flatnonzero(few).tolist():
                     j = (own != own[i]) & (~few | (np.arange(len(at)) > i))
                     a, b = at[i], at[j]
-                    b = b[100 * np.minimum(n[a], n[b]) >= percent * np.maximum(n[a], n[b])]
+                    b = b[(100 * np.minimum(n[a], n[b]) >= percent * np.maximum(n[a], n[b])) & (np.minimum(meets[a], meets[b]) >= _needed(percent, n[a], n[b]))]
                     if len(b):
                         swap = ids[a] > ids[b]
                         found.append(np.stack([np.where(swap, ids[b], ids[a]), np.where(swap, ids[a], ids[b]), np.where(swap, n[b], n[a]), np.where(swap, n[a], n[b])], 1))
@@ -276,8 +289,7 @@ def _rest_pairs(percent: int):
 
 
 def _enough(percent: int) -> Column:
-    """Whether shingles met in the prefixes leave room for a link: what the prefixes don't show of
-    either set adds ``ceil(t * n) - 1`` at most."""
+    """Whether a pair met at as many shingles as ``_needed`` says."""
     part = lambda n: F.ceil(F.col(n) * percent / F.lit(100))
     return F.col("k") + F.greatest(part("nx"), part("ny")) - 1 >= F.ceil((F.col("nx") + F.col("ny")) * percent / F.lit(100 + percent))
 
@@ -399,12 +411,14 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return links
 
     # a shingle names few partners, so k may fall short of the meetings; what this leaves out the last step finds
-    first = met(classes.select("id", "n", "rare", "prefix"), _first_pairs).filter(_enough(percent))
+    met_first = materialise(met(classes.select("id", "n", "rare", F.lit(0).alias("meets"), "prefix"), _first_pairs), "met")
+    meets = met_first.filter(F.col("y") == _ANY).select(F.col("x").alias("id"), F.col("k").alias("meets"))
+    first = met_first.filter(F.col("y") != _ANY).filter(_enough(percent))
     best = first.groupBy("x").agg(F.slice(F.sort_array(F.collect_list(F.struct("k", -F.col("y"))), False), 1, PARTNERS).alias("best"))
     best = best.select("x", F.explode("best").alias("b")).select("x", (-F.col("b.col2")).alias("y"))
     links = verified(best.select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).distinct())
     found = components(links)
-    rows = classes.join(found, "id", "left").select("id", "n", F.coalesce("comp", "id").alias("comp"), "prefix")
+    rows = classes.join(meets, "id").join(found, "id", "left").select("id", "n", F.coalesce("comp", "id").alias("comp"), "meets", "prefix")
     more = verified(met(rows, _rest_pairs).filter(_enough(percent)).select("x", "y"))
     if more.limit(1).count():
         links = materialise(links.unionByName(more), "links")
