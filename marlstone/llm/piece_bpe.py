@@ -32,9 +32,11 @@ MARK = "▁"
 _WORD = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 _NONE = np.int64(2**62)
 #: Distinct words after which a worker forgets those that it last met before as many others.
-REMEMBERED = 250_000
+REMEMBERED = 100_000
 #: Characters of distinct words that are merged together.
 ROUND_CHARS = 1 << 21
+#: Rows that become Python strings at a time.
+ROWS = 256
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -280,10 +282,12 @@ def _run(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _ENCODERS.get(path) or _ENCODERS.setdefault(path, Encoder(path))
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            for lo, hi in fw.slices(texts, 4 << 20):
-                n, ids, text = zip(*encoder(texts[lo:hi]), strict=True)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(text, pa.string())], ["doc_id", "n_tokens", "ids", "decoded"])
+            for at in range(0, batch.num_rows, ROWS):
+                texts = [t or "" for t in batch.column(1).slice(at, ROWS).to_pylist()]
+                for lo, hi in fw.slices(texts, 1 << 20):
+                    n, ids, text = zip(*encoder(texts[lo:hi]), strict=True)
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(at + lo, hi - lo), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(text, pa.string())], ["doc_id", "n_tokens", "ids", "decoded"])
+        pa.default_memory_pool().release_unused()
 
     return run
 
