@@ -1,7 +1,7 @@
 """Licence scans by a positional rare-token index.
 
 Templates are short licence notices. Their words are indexed with their positions. Each document looks up
-its rarest licence words (by document frequency over all documents); postings that agree on the
+its rarest licence words (by document frequency over all documents, however frequent); postings that agree on the
 place where a template would begin vote for it; an alignment counts if the template's mandatory
 phrases stand there and enough of its words fit. Fixed phrases are labelled wherever their words
 stand in a row, whatever the index finds.
@@ -56,8 +56,6 @@ TEMPLATES = (
 
 #: A document looks up so many of its rarest licence words.
 RAREST = 8
-#: Words in more than this part of the documents are no licence words of any document.
-COMMON = 0.05
 #: Part of a template's words that an alignment needs.
 FIT = 0.6
 
@@ -104,9 +102,6 @@ class LicenseIndex:
     def align(self, numbers: np.ndarray, idf: np.ndarray) -> tuple[set[str], float]:
         """Labels of one document and the best fit, from its words' numbers."""
         at = np.flatnonzero(numbers >= 0)
-        at = at[idf[numbers[at]] > 0]
-        if not len(at):
-            return set(), 0.0
         rare = np.unique(numbers[at])
         rare = rare[np.argsort(-idf[rare], kind="stable")][:RAREST]
         votes: dict[tuple[int, int], float] = {}
@@ -170,9 +165,16 @@ def _scanner(index: LicenseIndex, idf: np.ndarray):
                         last[d] = max(last[d], p)
                         base[d] += 1
                         of[d].add(label)
-                rare = np.flatnonzero(v >= 0)
-                rare = rare[idf[v[rare]] > 0]
-                more: dict[int, tuple[set[str], float]] = {d: index.align(v[w.first[d] : w.first[d + 1]], idf) for d in np.unique(w.doc[rare]).tolist()}
+                # an alignment needs all keys of its template, so other documents have none
+                may = np.zeros(n, bool)
+                for keys in index.keys:
+                    holds = np.ones(n, bool)
+                    for key in keys:
+                        at = places(v, key)
+                        at = at[w.doc[at] == w.doc[at + len(key) - 1]]
+                        holds &= np.bincount(w.doc[at], minlength=n) > 0
+                    may |= holds
+                more: dict[int, tuple[set[str], float]] = {d: index.align(v[w.first[d] : w.first[d + 1]], idf) for d in np.flatnonzero(may).tolist()}
                 none = (set(), 0.0)
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -195,7 +197,6 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     counted = docs.select("text").mapInArrow(_count(index), "word int, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
     n = {r["word"]: r["n"] for r in counted}
     df = np.array([n.get(i, 0) for i in range(len(index.vocabulary))], np.float64)
-    total = max(n.get(-1, 0), 1)
-    # with few documents nothing is common yet
-    idf = np.where(df <= max(COMMON * total, 3), np.log((total + 1) / (df + 0.5)), 0.0)
-    return docs.mapInArrow(_scanner(index, np.maximum(idf, 0.0)), "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double")
+    # above 0 for any word, as no word is in more documents than there are
+    idf = np.log((max(n.get(-1, 0), 1) + 1) / (df + 0.5))
+    return docs.mapInArrow(_scanner(index, idf), "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double")

@@ -244,6 +244,13 @@ def test_license_scan(spark):
     assert got[5]["n_base"] == 0 and got[6]["n_base"] == 0
 
 
+def test_license_scan_of_a_notice_in_half_of_the_documents(spark):
+    notices = {"all-rights-reserved": "All rights reserved", "gpl-3": "This work is licensed under the GNU General Public License, version 3", "cc-by": "This work is licensed under a Creative Commons Attribution 4.0 International License", "bsd": "Redistribution and use in source and binary forms, with or without modification, are permitted"}
+    for label, notice in notices.items():
+        got = license_scan(frame(spark, [(i, f"page {i} {notice if i % 2 else 'nothing'}", "a", "x", 1) for i in range(40)])).collect()
+        assert [(r["labels"], r["score"]) for r in sorted(got)] == [("", 0.0), (label, 1.0)] * 20
+
+
 def test_url_filter(spark):
     urls = ["http://A.example.ORG/x", "https://example.org/es/1", "https://b.example.org/en/12", "http://x.com/fr/?q", "http://x.com/de/1", "http://xcom/fr/", "http://y.org", None, "no scheme", "http://z.net/de/1", "http://z.net/de/1"]
     got = {(r["page_id"]): r for r in url_filter(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).collect()}
