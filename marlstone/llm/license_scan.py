@@ -1,10 +1,10 @@
 """Licence scans by a positional rare-token index.
 
-Templates are short licence notices. Their words are indexed with their positions. Each document looks up
-its rarest licence words (by document frequency over all documents, however frequent); postings that agree on the
-place where a template would begin vote for it; an alignment counts if the template's mandatory
-phrases stand there and enough of its words fit. Fixed phrases are labelled wherever their words
-stand in a row, whatever the index finds.
+Templates are short licence notices. For each template its rarest words (by document frequency over
+all documents, however frequent) are looked up, so many that every alignment that fits holds one of
+them; they give the places where the template may begin. An alignment counts if the template's mandatory
+phrases stand there and enough of its words fit. Document frequencies only decide what is looked up, never the
+result. Fixed phrases are labelled wherever their words stand in a row, whatever the index finds.
 
 Document frequencies are counted over all documents for the templates' words only (a few dozen,
 fixed), so what the driver gathers is bounded.
@@ -54,10 +54,10 @@ TEMPLATES = (
     Template("all-rights-reserved", "All rights reserved", ("all rights reserved",)),
 )
 
-#: A document looks up so many of its rarest licence words.
-RAREST = 8
 #: Part of a template's words that an alignment needs.
 FIT = 0.6
+#: More than a text's words.
+STRIDE = 1 << 32
 
 _WORD = re.compile(rb"[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 
@@ -67,7 +67,7 @@ def words_of(text: str) -> list[bytes]:
 
 
 class LicenseIndex:
-    """Positions of the templates' words."""
+    """The templates' words, numbered, and how many of them an alignment needs."""
 
     def __init__(self, templates: tuple[Template, ...] = TEMPLATES, phrases: tuple[tuple[str, str], ...] = PHRASES):
         self.templates, self.phrases = templates, phrases
@@ -79,10 +79,7 @@ class LicenseIndex:
         self.bodies = [ids(t.text) for t in templates]
         self.keys = [[ids(k) for k in t.keys] for t in templates]
         self.phrase_ids = [ids(p) for p, _ in phrases]
-        self.postings: dict[int, list[tuple[int, int]]] = {}
-        for t, body in enumerate(self.bodies):
-            for at, w in enumerate(body.tolist()):
-                self.postings.setdefault(w, []).append((t, at))
+        self.least = [next(k for k in range(len(b) + 1) if k / len(b) >= FIT) for b in self.bodies]
         h = np.array([fw.Words([w], fw.ALNUM_LOWER, lower=True).hash[0] for w in vocabulary], np.uint64)
         self.order = np.argsort(h)
         self.hashes = h[self.order]
@@ -99,26 +96,44 @@ class LicenseIndex:
         out[at[hit]] = self.order[j[hit]]
         return out
 
-    def align(self, numbers: np.ndarray, idf: np.ndarray) -> tuple[set[str], float]:
-        """Labels of one document and the best fit, from its words' numbers."""
-        at = np.flatnonzero(numbers >= 0)
-        rare = np.unique(numbers[at])
-        rare = rare[np.argsort(-idf[rare], kind="stable")][:RAREST]
-        votes: dict[tuple[int, int], float] = {}
-        for p in at[np.isin(numbers[at], rare)].tolist():
-            w = int(numbers[p])
-            for t, k in self.postings.get(w, ()):
-                votes[t, p - k] = votes.get((t, p - k), 0.0) + float(idf[w])
-        labels, best = set(), 0.0
-        for t, start in votes:
-            body = self.bodies[t]
-            lo, hi = max(start, 0), min(start + len(body), len(numbers))
-            fit = float((numbers[lo:hi] == body[lo - start : hi - start]).sum()) / len(body)
-            if fit >= FIT and (fit > best or self.templates[t].label not in labels):
-                around = numbers[max(lo - 3, 0) : hi + 3]
-                if all(len(places(around, k)) for k in self.keys[t]):
-                    labels.add(self.templates[t].label)
-                    best = max(best, fit)
+    def lookups(self, idf: np.ndarray) -> list[list[tuple[int, int]]]:
+        """For each template its rarest words with their positions: as many as an alignment that fits
+        may lack and one more, so each alignment that fits has one of them."""
+        return [sorted(zip(body.tolist(), range(len(body)), strict=True), key=lambda x: -idf[x[0]])[: len(body) - least + 1] for body, least in zip(self.bodies, self.least, strict=True)]
+
+    def align(self, w: fw.Words, numbers: np.ndarray, lookups: list[list[tuple[int, int]]]) -> tuple[list[set[str]], np.ndarray]:
+        """Labels of each document and its best fit, from the words' numbers."""
+        n = len(w.count)
+        labels, best = [set() for _ in range(n)], np.zeros(n)
+        for t, body in enumerate(self.bodies):
+            keys = []
+            for key in self.keys[t]:
+                at = places(numbers, key)
+                keys.append((at[w.doc[at] == w.doc[at + len(key) - 1]], len(key)))
+            if not all(len(at) for at, _ in keys):
+                continue
+            found = [np.empty(0, np.int64)]
+            for word, k in lookups[t]:
+                at = np.flatnonzero(numbers == word)
+                # the document's number travels with the start, which may lie before its first word
+                found.append(w.doc[at] * STRIDE + (at - k - w.first[w.doc[at]] + len(body)))
+            doc, start = np.divmod(np.unique(np.concatenate(found)), STRIDE)
+            first, last = w.first[doc], w.first[doc + 1]
+            start = start - len(body) + first
+            lo, hi = np.maximum(start, first), np.minimum(start + len(body), last)
+            near = np.ones(len(start), bool)
+            for at, size in keys:  # the first key place from 3 words before on ends within 3 words after
+                j = np.searchsorted(at, np.maximum(lo - 3, first))
+                near &= (j < len(at)) & (at[np.minimum(j, len(at) - 1)] + size <= np.minimum(hi + 3, last))
+            doc, start, first, last = doc[near], start[near], first[near], last[near]
+            same = np.zeros(len(start), np.int64)
+            for k, word in enumerate(body.tolist()):
+                at = start + k
+                same += (at >= first) & (at < last) & (numbers[np.clip(at, 0, len(numbers) - 1)] == word)
+            fits = same >= self.least[t]
+            np.maximum.at(best, doc[fits], same[fits] / len(body))
+            for d in np.unique(doc[fits]).tolist():
+                labels[d].add(self.templates[t].label)
         return labels, best
 
 
@@ -148,6 +163,8 @@ def _count(index: LicenseIndex):
 
 
 def _scanner(index: LicenseIndex, idf: np.ndarray):
+    lookups = index.lookups(idf)
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = fw.binary_texts(batch.column(1))
@@ -165,21 +182,11 @@ def _scanner(index: LicenseIndex, idf: np.ndarray):
                         last[d] = max(last[d], p)
                         base[d] += 1
                         of[d].add(label)
-                # an alignment needs all keys of its template, so other documents have none
-                may = np.zeros(n, bool)
-                for keys in index.keys:
-                    holds = np.ones(n, bool)
-                    for key in keys:
-                        at = places(v, key)
-                        at = at[w.doc[at] == w.doc[at + len(key) - 1]]
-                        holds &= np.bincount(w.doc[at], minlength=n) > 0
-                    may |= holds
-                more: dict[int, tuple[set[str], float]] = {d: index.align(v[w.first[d] : w.first[d + 1]], idf) for d in np.flatnonzero(may).tolist()}
-                none = (set(), 0.0)
+                more, best = index.align(w, v, lookups)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(lo, n), pa.array(w.count, pa.int64()), pa.array(base, pa.int64()), pa.array(first, pa.int64(), mask=first < 0), pa.array(last, pa.int64(), mask=last < 0),
-                        pa.array([",".join(sorted(x)) for x in of]), pa.array([",".join(sorted(x | more.get(d, none)[0])) for d, x in enumerate(of)]), pa.array([1.0 if x else more.get(d, none)[1] for d, x in enumerate(of)], pa.float64()),
+                        pa.array([",".join(sorted(x)) for x in of]), pa.array([",".join(sorted(x | y)) for x, y in zip(of, more, strict=True)]), pa.array([1.0 if x else b for x, b in zip(of, best.tolist(), strict=True)], pa.float64()),
                     ],
                     ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"],
                 )

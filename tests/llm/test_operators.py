@@ -14,7 +14,7 @@ from marlstone.llm import flatwords as fw
 from marlstone.llm import toxicity
 from marlstone.llm.decontaminate import decontaminate, find_leaks
 from marlstone.llm.jaccard_join import PrefixTree, _bitmap, _may_link, jaccard_groups
-from marlstone.llm.license_scan import license_scan
+from marlstone.llm.license_scan import LicenseIndex, license_scan, places, words_of
 from marlstone.llm.line_dedup import line_dedup
 from marlstone.llm.piece_bpe import PieceModel, encode_decode
 from marlstone.llm.substring_dedup import substring_dedup
@@ -251,6 +251,42 @@ def test_license_scan_of_a_notice_in_half_of_the_documents(spark):
         assert [(r["labels"], r["score"]) for r in sorted(got)] == [("", 0.0), (label, 1.0)] * 20
 
 
+def test_license_scan_of_several_notices_in_a_file(spark):
+    mit = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"
+    gpl, bsd = "This work is licensed under the GNU General Public License, version 3", "Redistribution and use in source and binary forms, with or without modification, are permitted"
+    rows = [(1, f"{mit}. {gpl}", "a", "x", 1), (2, f"All rights reserved. {bsd}", "a", "x", 1), (3, " ".join([mit, gpl, bsd, "All rights reserved"] * 3), "a", "x", 1), (4, "rights reserved. The GNU General Public License", "a", "x", 1)]
+    rows += [(10 + i, gpl if i % 2 else "all rights reserved", "a", "x", 1) for i in range(40)]  # so the others' words are rarer
+    got = {r["doc_id"]: (r["labels"], r["score"]) for r in license_scan(frame(spark, rows)).collect()}
+    assert [got[i] for i in range(1, 5)] == [("gpl-3,mit", 1.0), ("all-rights-reserved,bsd", 1.0), ("all-rights-reserved,bsd,gpl-3,mit", 1.0), ("", 0.0)]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_license_alignments_equal_brute_force(seed):
+    r, index = random.Random(seed), LicenseIndex()
+    texts = []
+    for _ in range(60):
+        words = []
+        for _ in range(r.randint(0, 6)):
+            body = words_of(r.choice(index.templates).text)
+            body = [x if r.random() < 0.9 else r.choice([*index.vocabulary, b"other"]) for x in body[r.randint(0, 2) : len(body) - r.randint(0, 2)]]
+            words += body + [b"other"] * r.randint(0, 4)
+        texts.append(b" ".join(words))
+    w = fw.Words(texts, fw.ALNUM_LOWER, lower=True)
+    v = index.numbers(w)
+    labels, best = index.align(w, v, index.lookups(np.array([r.random() for _ in index.vocabulary])))
+    want_labels, want_best = [set() for _ in texts], np.zeros(len(texts))
+    for d in range(len(texts)):
+        x = v[w.first[d] : w.first[d + 1]]
+        for t, body in enumerate(index.bodies):
+            for start in range(-len(body), len(x)):
+                lo, hi = max(start, 0), min(start + len(body), len(x))
+                fit = float((x[lo:hi] == body[lo - start : hi - start]).sum()) / len(body)
+                if fit >= 0.6 and all(len(places(x[max(lo - 3, 0) : hi + 3], k)) for k in index.keys[t]):
+                    want_labels[d].add(index.templates[t].label)
+                    want_best[d] = max(want_best[d], fit)
+    assert labels == want_labels and (best == want_best).all() and any(len(x) > 2 for x in labels)
+
+
 def test_url_filter(spark):
     urls = ["http://A.example.ORG/x", "https://example.org/es/1", "https://b.example.org/en/12", "http://x.com/fr/?q", "http://x.com/de/1", "http://xcom/fr/", "http://y.org", None, "no scheme", "http://z.net/de/1", "http://z.net/de/1"]
     got = {(r["page_id"]): r for r in url_filter(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).collect()}
