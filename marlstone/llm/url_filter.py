@@ -1,7 +1,8 @@
 """URL filter by a ratio of character language models, in DataFrame functions only.
 
 URLs that a rule accepts or rejects train two interpolated Markov models of up to three characters
-of context; other URLs are judged by the mean over their characters of the difference of the
+of context over host and path, as the SQL has it (scheme, query and fragment are not read, so URLs that
+differ only there get one verdict); other URLs are judged by the mean over their characters of the difference of the
 models' log probabilities, against a threshold between the two classes' mean scores, weighted by
 their spread.
 
