@@ -6,7 +6,7 @@ words and word beginnings with weights, and exception phrases; a match inside an
 nothing. The sum of weights is divided by the length, and a logistic curve turns it into a score.
 
 The lexicon starts from a few fixed words and learns more from labelled rows: terms that many
-toxic documents hold and few others. Rows are learned from by a bounded sample (``SAMPLE`` of
+toxic documents hold and few others, ranked over all terms. Rows are learned from by a bounded sample (``SAMPLE`` of
 either class, chosen by a hash of the id); scoring covers every whole text.
 
 Defined results: a null or empty text is scored as one without matches; labels that are null, or
@@ -37,7 +37,6 @@ SAMPLE = 8000
 THRESHOLD = 0.3
 #: Lengths of word beginnings that may become terms, and the most terms.
 LEAST, MOST, TERMS = 4, 12, 400
-CANDIDATES = 20_000
 
 # Letters of other scripts that look like Latin ones, then signs that stand for letters.
 _LOOKALIKES = dict(zip("авеікмнорстухѕјԁһɡαεικνορτυχω", "abeikmhopctyxsjdhgaeikvoptuxw", strict=True))
@@ -115,17 +114,6 @@ def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(list(count), pa.string()), pa.array(list(count.values()), pa.int64())], ["term", "n"])
 
 
-def _counter(known: frozenset):
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: Counter = Counter()
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                total.update(known & terms_of(set(fold(text or "").split())))
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], ["term", "n"])
-
-    return count
-
-
 def _loads(lexicon: Lexicon):
     def loads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = lexicon.automaton()
@@ -154,24 +142,21 @@ def learn(docs: DataFrame, labels: DataFrame, usable: Column | None = None, id_c
     toxic, clean = texts.filter("toxic = 1").select("text"), texts.filter("toxic = 0").select("text")
     size = {k: max(1.0, part[k] * n[k]) for k in n}
     least = max(3, round(0.004 * size[1]))
-    often = toxic.mapInArrow(_terms, "term string, n long").groupBy("term").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
-    held = {r["term"]: r["n"] for r in often.orderBy(F.col("n").desc(), "term").limit(CANDIDATES).collect()}
-    other = {r["term"]: r["n"] for r in clean.mapInArrow(_counter(frozenset(held)), "term string, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
+    counted = lambda rows, name: rows.mapInArrow(_terms, "term string, n long").groupBy("term").agg(F.sum("n").alias(name))
+    t, c = F.col("t"), F.coalesce("c", F.lit(0))
+    p, q, pooled = t / F.lit(size[1]), c / F.lit(size[0]), (t + c) / F.lit(size[1] + size[0])
+    z = (p - q) / F.sqrt(F.greatest(pooled * (1 - pooled), F.lit(1e-12)) * F.lit(1 / size[1] + 1 / size[0]))
+    weight = F.log((t + 0.5) / F.lit(size[1] + 1)) - F.log((c + 0.5) / F.lit(size[0] + 1))
+    held = counted(toxic, "t").filter(t >= least).join(counted(clean, "c"), "term", "left")
+    held = held.select("term", t, c.alias("c"), z.alias("z"), weight.alias("weight")).filter((F.col("z") > 5) & (F.col("weight") > math.log(8)))
     weights = dict(seeds.weights)
-    ranked = []
-    for term, t in held.items():
-        c = other.get(term, 0)
-        p, q = t / size[1], c / size[0]
-        pooled = (t + c) / (size[1] + size[0])
-        z = (p - q) / math.sqrt(max(pooled * (1 - pooled), 1e-12) * (1 / size[1] + 1 / size[0]))
-        weight = math.log((t + 0.5) / (size[1] + 1)) - math.log((c + 0.5) / (size[0] + 1))
-        if z > 5 and weight > math.log(8):
-            ranked.append((z * weight, term, weight))
-    for _, term, weight in sorted(ranked, key=lambda x: (-x[0], len(x[1]), x[1])):
+    # all terms are ranked where they are, and read here until the lexicon is full
+    for r in held.orderBy((F.col("z") * F.col("weight")).desc(), F.length("term"), "term").toLocalIterator():
         if len(weights) >= TERMS:
             break
+        term = r["term"]
         if not any(term.startswith(known.rstrip(" ")) or known.startswith(term.rstrip(" ")) for known in weights):
-            weights[term] = min(weight, 6.0)
+            weights[term] = min(math.log((r["t"] + 0.5) / (size[1] + 1)) - math.log((r["c"] + 0.5) / (size[0] + 1)), 6.0)
     lexicon = Lexicon(weights)
     got = texts.mapInArrow(_loads(lexicon), "load double, toxic int").collect()  # as many pairs as the sample
     return _calibrate(lexicon, np.array([r["load"] for r in got]), np.array([r["toxic"] for r in got], float), part)

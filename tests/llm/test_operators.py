@@ -234,6 +234,15 @@ def test_toxicity(spark):
     assert toxicity.learn(frame(spark, rows), labels.limit(0)).weights
 
 
+def test_toxicity_learns_a_term_rarer_than_many_common_ones(spark):
+    r = random.Random(6)
+    common = " ".join("".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(13)) for _ in range(2600))
+    rows = [(i, common, "a", "x", 1) for i in range(60)] + [(100 + i, f"{common} {'frobnik' if i % 4 else ''}", "a", "x", 1) for i in range(40)]
+    labels = spark.createDataFrame([(i, 0) for i in range(60)] + [(100 + i, 1) for i in range(40)], "doc_id long, toxic int")
+    assert len(toxicity.terms_of(set(common.split()))) > 20_000
+    assert set(toxicity.learn(frame(spark, rows), labels).weights) - {f"{w} " for w in toxicity.SEEDS} == {"frob"}
+
+
 def test_license_scan(spark):
     rows = [(1, "x\nReleased under the MIT License. Apache License, Version 2.0 CC BY-NC", "a", "x", 1), (2, "This work is licensed under the GNU General Public License, version 3.", "a", "x", 1), (3, None, "a", "x", 1), (4, "under the mit license under the mit license", "a", "x", 1), (5, "under the mit", "a", "x", 1), (6, "license", "a", "x", 1)]
     got = {r["doc_id"]: r for r in license_scan(frame(spark, rows)).collect()}
