@@ -30,13 +30,13 @@ def backlinks(pages: DataFrame) -> DataFrame:
     return edges(pages).join(pages.select(F.col("stem").alias("slug"), "path"), "slug").groupBy("path").agg(F.array_sort(F.collect_list("src")).alias("refs"))
 
 
-def reachable(pages: DataFrame, roots: DataFrame, most: int = 100) -> DataFrame:
-    """``(path)`` of every page that can be reached from ``roots``, by frontier."""
-    steps = edges(pages).join(pages.select(F.col("stem").alias("slug"), F.col("path").alias("dst")), "slug").select("src", "dst").distinct()
+def reachable(pages: DataFrame, roots: DataFrame) -> DataFrame:
+    """``(path)`` of every page that can be reached from ``roots``, by frontier; it ends, as each
+    round takes unseen pages only."""
+    steps = edges(pages).join(pages.select(F.col("stem").alias("slug"), F.col("path").alias("dst")), "slug").select("src", "dst").distinct().checkpoint()
     seen = frontier = roots.select("path").distinct().checkpoint()
-    for _ in range(most):
+    while True:
         frontier = frontier.join(steps, frontier["path"] == steps["src"]).select(F.col("dst").alias("path")).distinct().join(seen, "path", "left_anti").checkpoint()
         if not frontier.limit(1).count():
-            break
+            return seen
         seen = seen.unionByName(frontier).checkpoint()
-    return seen

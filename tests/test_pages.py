@@ -29,3 +29,11 @@ def test_graph(spark, tmp_path):
     assert {r["path"]: r["refs"] for r in links.backlinks(df).collect()}["c/b.md"] == ["c/a.md", "c/d.md"]
     root = spark.createDataFrame([("c/a.md",)], "path string")
     assert {r["path"] for r in links.reachable(df, root).collect()} == {"c/a.md", "c/b.md", "c/d.md"}
+
+
+def test_reach_of_a_long_chain(spark, tmp_path):
+    spark.sparkContext.setCheckpointDir(str(tmp_path))
+    pages = [(f"c/{k}.md", f"p{k}", f"[[p{k + 1}]]") for k in range(102)] + [("c/x.md", "x", "[[p0]]")]
+    df = parse_pages(spark.createDataFrame(pages, "path string, stem string, text string")).drop("text").checkpoint()
+    root = spark.createDataFrame([("c/0.md",)], "path string")
+    assert {r["path"] for r in links.reachable(df, root).collect()} == {f"c/{k}.md" for k in range(102)}
