@@ -18,25 +18,21 @@ rows are each encoded. Columns other than the id and the text are ignored.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import flatwords as fw
+from . import pieces as px
 
 MARK = "▁"
-_WORD = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
-_NONE = np.int64(2**62)
-#: Distinct words after which a worker forgets those that it last met before as many others.
-REMEMBERED = 100_000
-#: Characters of distinct words that are merged together.
-ROUND_CHARS = 1 << 21
-#: Rows that become Python strings at a time.
-ROWS = 256
+#: The rank of no pair.
+_NONE = np.int32(2**31 - 1)
+#: Bytes of distinct words that are merged together; a longer word is merged alone.
+ROUND_BYTES = 1 << 21
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -107,9 +103,10 @@ class PieceModel:
         for p, i in ids.items():
             if len(p) == 1:
                 self.of_char[ord(p)] = i
+        self.of_char[0x20] = self.of_char[ord(MARK)]  # texts keep their spaces here
         order = sorted(set(-self.scores[i] for i in ids.values()))
         place = {s: r for r, s in enumerate(order)}
-        self.rank = np.array([place.get(-s, 0) for s in self.scores], np.int64)
+        self.rank = np.array([place.get(-s, 0) for s in self.scores], np.int32)
         symbol = lambda s: ids.get(s, int(self.of_char[ord(s)]) if len(s) == 1 else -1)
         pairs = {}
         for p, i in ids.items():
@@ -117,162 +114,180 @@ class PieceModel:
                 a, b = symbol(p[:k]), symbol(p[k:])
                 if a >= 0 and b >= 0:
                     pairs[a * (self.size + 0x110000) + b] = i
-        self.pair_keys = np.array(sorted(pairs), np.int64)
-        self.pair_ids = np.array([pairs[k] for k in self.pair_keys.tolist()], np.int64)
+        self._table(np.array(sorted(pairs), np.int64), np.array([pairs[k] for k in sorted(pairs)], np.int32))
         self.bytes_of = [bytes([int(p[3:-1], 16)]) if k == self.BYTE else p.replace(MARK, " ").encode() if k == self.NORMAL else b"" for p, k in zip(self.pieces, self.kinds, strict=True)]
 
+    def _table(self, keys: np.ndarray, ids: np.ndarray) -> None:
+        """A hash table of pairs with open addressing: a key lies at its slot or one of the next."""
+        bits = max(len(keys), 1).bit_length() + 2
+        self.shift = np.uint64(64 - bits)
+        self.slot_keys, self.slot_ids = np.full((1 << bits) + len(keys), -1, np.int64), np.full((1 << bits) + len(keys), -1, np.int32)
+        slot = self._slot(keys)
+        while len(keys):
+            # of the keys at one free slot the first gets it, the others go on
+            free = self.slot_keys[slot] < 0
+            _, first = np.unique(np.where(free, slot, -1 - np.arange(len(slot))), return_index=True)
+            won = np.zeros(len(keys), bool)
+            won[first] = True
+            won &= free
+            self.slot_keys[slot[won]], self.slot_ids[slot[won]] = keys[won], ids[won]
+            keys, ids, slot = keys[~won], ids[~won], slot[~won] + 1
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> self.shift).astype(np.int64)
+
     def _merged(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The piece of each pair, -1 where there is none."""
-        key = left * (self.size + 0x110000) + right
-        j = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
-        return np.where(self.pair_keys[j] == key, self.pair_ids[j], -1)
+        key = left.astype(np.int64) * (self.size + 0x110000) + right
+        slot = self._slot(key)
+        have = self.slot_keys[slot]
+        out = np.where(have == key, self.slot_ids[slot], np.int32(-1))
+        rest = np.flatnonzero((have != key) & (have >= 0))
+        slot = slot[rest]
+        while len(rest):
+            slot = slot + 1
+            have = self.slot_keys[slot]
+            same = have == key[rest]
+            out[rest[same]] = self.slot_ids[slot[same]]
+            on = ~same & (have >= 0)
+            rest, slot = rest[on], slot[on]
+        return out
 
     def _ranks(self, merged: np.ndarray) -> np.ndarray:
-        return np.where(merged >= 0, self.rank[merged], _NONE >> 32)
+        return np.where(merged >= 0, self.rank[merged], _NONE)
 
     def encode_words(self, words: list[str]) -> list[list[int]]:
         """The ids of each word on its own."""
-        out: list[list[int]] = []
-        lo = size = 0
-        for i, w in enumerate(words):
-            size += len(w)
-            if size >= ROUND_CHARS:
-                out += self._encode(words[lo : i + 1])
-                lo, size = i + 1, 0
-        return out + self._encode(words[lo:])
-
-    def _encode(self, words: list[str]) -> list[list[int]]:
-        if not words:
-            return []
-        chars = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4")
-        length = np.array([len(w) for w in words], np.int64)
+        flat, count = self.encode(pa.array([w.encode("utf-8", "surrogatepass") for w in words], pa.binary()))
+        return [x.tolist() for x in np.split(flat, np.cumsum(count)[:-1])] if words else []
+
+    def encode(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of each word on its own, one after another, and how many each has."""
+        parts = [self._encode(words.slice(lo, hi - lo)) for lo, hi in px.slices(words, ROUND_BYTES)]
+        if not parts:
+            return np.empty(0, np.int32), np.empty(0, np.int64)
+        return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+
+    def _encode(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        data, at = px.buffers(words)
+        chars = np.frombuffer(data.tobytes().decode("utf-8", "surrogatepass").encode("utf-32-le", "surrogatepass"), "<u4")
+        heads = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))
+        length = np.diff(heads[at])  # in characters
         home = np.cumsum(length) - length
-        sym, word = self.of_char[chars], np.repeat(np.arange(len(words)), length)
-        result, count = np.empty(len(sym), np.int64), length.copy()
-        pair = np.full(len(sym), -1, np.int64)
-        pair[:-1] = np.where(word[:-1] == word[1:], self._merged(sym[:-1], sym[1:]), -1)
-        while len(sym):
-            cut = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1])))
-            best = np.minimum.reduceat(self._ranks(pair) << np.int64(32) | np.arange(len(sym)), cut)
-            size = np.diff(np.append(cut, len(sym)))
-            ended = best >= _NONE
+        flat, count = np.empty(len(chars), np.int32), length.copy()
+        alive = np.flatnonzero(length)  # words with a symbol yet, and the size of each
+        size = length[alive]
+        sym, word = self.of_char[chars].astype(np.int32), np.repeat(np.arange(len(words), dtype=np.int32), length)
+        rank = np.full(len(sym), _NONE, np.int32)
+        rank[:-1] = np.where(word[:-1] == word[1:], self._ranks(self._merged(sym[:-1], sym[1:])), _NONE)
+        while len(alive):
+            cut = np.cumsum(size) - size
+            best = np.minimum.reduceat(rank, cut)
+            ended = best == _NONE
+            keep = np.ones(len(sym), bool)
             if ended.any():
                 gone = np.repeat(ended, size)
-                w, k = word[cut[ended]], size[ended]
-                at = np.repeat(home[w] - (np.cumsum(k) - k), k) + np.arange(k.sum())
-                result[at], count[w] = sym[gone], k
-                stay = ~gone
-                sym, word, pair = sym[stay], word[stay], pair[stay]
-                best, size = best[~ended], size[~ended]
-                if not len(sym):
-                    break
-                cut = np.cumsum(size) - size
-                lead = best & 0xFFFFFFFF  # positions before the ended words went
-                lead = lead - (np.cumsum(gone) - 1)[lead] - 1 + gone[lead] if len(lead) else lead
-            else:
-                lead = best & 0xFFFFFFFF
-            target = np.repeat(pair[lead], size)
-            left = np.repeat(sym[lead], size)
-            # every place of the word's pair: pieces alone don't tell it, "a" + "bc" and "ab" + "c" make one
-            hit = (pair == target) & (sym == left)
-            at = np.flatnonzero(hit)
-            # a row of overlapping places (a pair of equal symbols): every second one, from the left
-            run = np.cumsum(np.concatenate(([True], np.diff(at) != 1))) - 1
-            first = at[np.concatenate(([True], np.diff(at) != 1))]
-            at = at[(at - first[run]) % 2 == 0]
-            # new neighbours as they stand when this place's turn has come
-            made = pair[at]
-            before = np.concatenate(([False], (at[1:] - at[:-1] == 2) & (word[at[1:]] == word[at[:-1]])))
-            prev = np.where(before, made, sym[np.maximum(at - 1, 0)])
-            has_prev = (at > 0) & (word[np.maximum(at - 1, 0)] == word[at])
-            nxt = np.minimum(at + 2, len(sym) - 1)
-            has_next = (at + 2 < len(sym)) & (word[nxt] == word[at])
-            own = self.rank[made]
-            better = has_prev & (self._ranks(self._merged(prev, made)) <= own)
-            better |= has_next & (self._ranks(self._merged(made, sym[nxt])) <= own)
-            # likewise another pair of the same rank further left than a place waits for its turn
-            tied = np.flatnonzero((self._ranks(pair) == np.repeat(best >> 32, size)) & ~hit)
-            w_at = word[at]
-            head = np.concatenate(([True], w_at[1:] != w_at[:-1]))
-            seen = np.cumsum(better)
-            start = np.maximum.accumulate(np.where(head, np.arange(len(at)), 0))
-            blocked = (seen - better - (seen - better)[start]) > 0  # something better arose further left
-            if len(tied):
-                t_word = word[tied]
-                j = np.searchsorted(t_word, w_at)
-                inside = (j < len(tied)) & (t_word[np.minimum(j, len(tied) - 1)] == w_at)
-                blocked |= inside & (tied[np.minimum(j, len(tied) - 1)] < at)
-            at = at[~blocked]
-            sym[at] = pair[at]
-            keep = np.ones(len(sym), bool)
-            keep[at + 1] = False
-            new = at - np.searchsorted(at, at)  # each place moves left by the merges before it
-            sym, word, pair = sym[keep], word[keep], pair[keep]
+                w, k = alive[ended], size[ended]
+                flat[np.repeat(home[w] - (np.cumsum(k) - k), k) + np.arange(k.sum())], count[w] = sym[gone], k
+                keep = ~gone
+            at = np.flatnonzero(rank == np.repeat(best, size))
+            at = at[rank[at] != _NONE]
+            if len(at):
+                at = self._turn(sym, word, at)
+                sym[at] = self._merged(sym[at], sym[at + 1])
+                keep[at + 1] = False
+                size = size - np.bincount(np.searchsorted(cut, at, "right") - 1, minlength=len(size))
+            place = np.cumsum(keep) - 1
+            sym, word, rank = sym[keep], word[keep], rank[keep]
+            alive, size = alive[~ended], size[~ended]
+            new = place[at]
             for i in (new, new[new > 0] - 1):
                 j = np.minimum(i + 1, len(sym) - 1)
-                pair[i] = np.where((i + 1 < len(sym)) & (word[j] == word[i]), self._merged(sym[i], sym[j]), -1)
-        out = []
-        flat = result.tolist()
-        odd = set(np.repeat(np.arange(len(words)), length)[self.of_char[chars] >= self.size].tolist())
-        for i, (a, n) in enumerate(zip(home.tolist(), count.tolist(), strict=True)):
-            ids = flat[a : a + n]
-            if i in odd:
-                ids = [k for x in ids for k in ([x] if x < self.size else self.byte_ids[list(chr(x - self.size).encode("utf-8", "surrogatepass"))].tolist())]
-            out.append(ids)
-        return out
-
-    def words(self, text: str) -> list[str]:
-        return _WORD.findall(MARK + text.replace(" ", MARK)) if text else []
+                rank[i] = np.where((i + 1 < len(sym)) & (word[j] == word[i]), self._ranks(self._merged(sym[i], sym[j])), _NONE)
+        flat = px.gather(flat, home, count)
+        return self._bytes(flat, count)
+
+    def _turn(self, sym: np.ndarray, word: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Those places of the best rank of their words that are merged in this round."""
+        # a row of overlapping places: every second one, from the left
+        head = np.concatenate(([True], np.diff(at) != 1))
+        at = at[(at - at[head][np.cumsum(head) - 1]) % 2 == 0]
+        made = self._merged(sym[at], sym[at + 1])
+        # new neighbours as they stand when this place's turn has come
+        beside = np.concatenate(([False], (at[1:] - at[:-1] == 2) & (word[at[1:]] == word[at[:-1]])))
+        before = np.maximum(at - 1, 0)
+        left = np.where(beside, np.concatenate(([-1], made[:-1])), sym[before])
+        after = np.minimum(at + 2, len(sym) - 1)
+        own = self.rank[made]
+        better = (at > 0) & (word[before] == word[at]) & (self._ranks(self._merged(left, made)) <= own)
+        better |= (at + 2 < len(sym)) & (word[after] == word[at]) & (self._ranks(self._merged(made, sym[after])) <= own)
+        if not better.any():
+            return at
+        seen = np.cumsum(better) - better
+        first = np.concatenate(([True], word[at[1:]] != word[at[:-1]]))
+        return at[seen == seen[first][np.cumsum(first) - 1]]  # nothing better arose further left
+
+    def _bytes(self, flat: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Characters without a piece become the ids of their bytes."""
+        odd = flat >= self.size
+        if not odd.any():
+            return flat, count
+        code = flat[odd] - self.size
+        n = np.ones(len(flat), np.int64)
+        n[odd] = 1 + (code >= 0x80) + (code >= 0x800) + (code >= 0x10000)
+        raw = np.frombuffer("".join(map(chr, code.tolist())).encode("utf-8", "surrogatepass"), np.uint8)
+        out = np.repeat(flat, n)
+        out[np.repeat(odd, n)] = self.byte_ids[raw]
+        ends = np.concatenate(([0], np.cumsum(n)))[np.concatenate(([0], np.cumsum(count)))]
+        return out, np.diff(ends)
 
     def decode(self, ids: list[int]) -> str:
         """Text of ids: the first leading space goes, bytes that aren't UTF-8 are replaced."""
-        return self.finish(b"".join([self.bytes_of[i] for i in ids]))
+        return b"".join([self.bytes_of[i] for i in ids]).removeprefix(b" ").decode("utf-8", "replace")
 
-    @staticmethod
-    def finish(data: bytes) -> str:
-        return data.removeprefix(b" ").decode("utf-8", "replace")
+
+def cut_words(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of each text, with the leading space that the model puts before a text, and how
+    many each text has. A mark in a text is a space to the model."""
+    if pc.any(pc.match_substring(column, MARK)).as_py():
+        column = pc.replace_substring(column, MARK, " ")
+    empty = pc.equal(pc.binary_length(column), 0)
+    column = pc.if_else(empty, column, pc.binary_join_element_wise(pa.scalar(" ", column.type), column, pa.scalar("", column.type)))
+    data, at = px.buffers(column)
+    space = data == 0x20
+    head = space.copy()
+    head[1:] &= ~space[:-1]
+    head[at[:-1][np.diff(at) > 0]] = True
+    starts = np.flatnonzero(head)
+    return px.cut_texts(data, starts, len(data)), np.diff(np.searchsorted(starts, at))
 
 
 class Encoder:
-    """Encodes texts by their distinct words and remembers them."""
+    """Ids and decoded texts of string columns."""
 
     def __init__(self, path: str):
         self.model = PieceModel(path)
-        self.known: dict[str, tuple[str, int, bytes | None]] = {}
-        self.older: dict[str, tuple[str, int, bytes | None]] = {}
-
-    def _learn(self, cut: list[list[str]]) -> None:
-        """Have every word of these texts in ``known``; words not met for long are forgotten."""
-        if len(self.known) > REMEMBERED:
-            self.older, self.known = self.known, {}
-        known, older, model = self.known, self.older, self.model
-        new = []
-        for w in set().union(*cut) - known.keys():
-            if w in older:
-                known[w] = older[w]
-            else:
-                new.append(w)
-        for w, ids in zip(new, model.encode_words(new), strict=True):
-            text = b"".join([model.bytes_of[i] for i in ids])
-            known[w] = (" ".join(map(str, ids)), len(ids), None if text == w.replace(MARK, " ").encode("utf-8", "surrogatepass") else text)
-
-    def __call__(self, texts: list[str]) -> Iterator[tuple[int, str, str]]:
+        self.memo = px.Memo(self.model.encode)
+        self.decimal = pa.array([str(i) for i in range(self.model.size)])
+        whole = self.model.bytes_of
+        self.spelled = pa.array([*whole, *(b.removeprefix(b" ") for b in whole)], pa.binary())  # the second half: at a text's start
+
+    def __call__(self, column: pa.Array) -> tuple[np.ndarray, pa.Array, pa.Array]:
         """For each text: the number of ids, the ids in decimal, and the text that they decode to."""
-        end = str(self.model.end_id)
-        for lo in range(0, len(texts), 1000):
-            cut = [self.model.words(t) for t in texts[lo : lo + 1000]]
-            self._learn(cut)
-            look = self.known.__getitem__
-            for ws in cut:
-                if not ws:
-                    yield 1, end, ""
-                    continue
-                ids, n, own = zip(*map(look, ws), strict=True)
-                if any(own):  # a word that doesn't decode to itself
-                    text = self.model.finish(b"".join([w.replace(MARK, " ").encode() if o is None else o for w, o in zip(ws, own, strict=True)]))
-                else:
-                    text = "".join(ws).replace(MARK, " ")[1:]
-                yield sum(n) + 1, " ".join(ids) + " " + end, text
+        flat, count = self.memo.ids(*cut_words(column))
+        ids = px.with_ends(flat, count, self.model.end_id)
+        count = count + 1
+        ends = np.concatenate(([0], np.cumsum(count)))
+        kind, offsets = (pa.LargeListArray, ends) if len(ids) >= 2**31 else (pa.ListArray, ends.astype(np.int32))
+        listed = pc.binary_join(kind.from_arrays(pa.array(offsets), self.decimal.take(pa.array(ids))), " ")
+        ids[ends[:-1]] += self.model.size
+        text = pc.binary_join(kind.from_arrays(pa.array(offsets), self.spelled.take(pa.array(ids))), b"")
+        try:
+            text = text.cast(pa.string())
+        except pa.ArrowInvalid:
+            text = pa.array([b.decode("utf-8", "replace") for b in text.to_pylist()], pa.string())
+        return count, listed, text
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -282,11 +297,10 @@ def _run(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _ENCODERS.get(path) or _ENCODERS.setdefault(path, Encoder(path))
         for batch in batches:
-            for at in range(0, batch.num_rows, ROWS):
-                texts = [t or "" for t in batch.column(1).slice(at, ROWS).to_pylist()]
-                for lo, hi in fw.slices(texts, 1 << 20):
-                    n, ids, text = zip(*encoder(texts[lo:hi]), strict=True)
-                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(at + lo, hi - lo), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(text, pa.string())], ["doc_id", "n_tokens", "ids", "decoded"])
+            column = px.text_column(batch.column(1))
+            for lo, hi in px.slices(column):
+                n, ids, text = encoder(column.slice(lo, hi - lo))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(n, pa.int64()), ids, text], ["doc_id", "n_tokens", "ids", "decoded"])
         pa.default_memory_pool().release_unused()
 
     return run
