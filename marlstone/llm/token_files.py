@@ -1,7 +1,7 @@
 """Token-id files of patched frame-of-reference blocks.
 
 A file holds the ids of consecutive documents. Blocks of 1024 ids subtract their minimum and pack
-the rest at a width that 90 per cent of them fit; the others are listed with their places. An
+the rest at a width that 98 per cent of them fit; the others are listed with their places. An
 index of block starts lets a reader decode any range alone.
 
     bytes 0-3 "PFR1", then little-endian: ids (u64), blocks (u32), start of each block (u64)
@@ -14,29 +14,32 @@ ranges of their id, so shards and the files in them ascend; a file is closed at
 ids, at a document's end. Offsets come from sums of shards and of the files within each shard.
 
 Encoding uses the ``tokenizers`` library. Its pre-tokeniser splits text before any merge, so pieces
-of plain text are encoded once and remembered; a text with any other character, or with an added token's
-string, goes to the library whole.
+of plain text are found in flat arrays of character classes, encoded once and remembered; a text
+with a character whose class Unicode has changed or added since version 3.2, or with an added
+token's string, goes to the library whole.
 
 Defined results: a null or empty text has only the end id; a null document id sorts first; rows
-that repeat an id are ordered by text and each kept. Other columns are ignored.
+that repeat an id are ordered by a hash of the text, then by text, and each kept, so that they can
+lie in several shards. An empty table gives no file and no row. Other columns are ignored.
 """
 
 from __future__ import annotations
 
-import re
+import functools
 import struct
+import unicodedata
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from . import flatwords as fw
+from . import pieces as px
 from .workspace import fresh_path
 
 BLOCK = 1024
@@ -44,15 +47,24 @@ FIT = 0.98
 FILE_IDS = 1 << 20
 MAGIC = b"PFR1"
 _HEAD = struct.Struct("<HBHI")
-#: Pieces after which a worker forgets those that it last met before as many others.
-REMEMBERED = 250_000
-
-#: Characters whose class is the same in every version of Unicode since 4.0.
-_LETTER = "A-Za-zªµºÀ-ÖØ-öø-ɏ"
-_DIGIT = "0-9²³¹¼-¾"
-_SPACE = " \t\n\r"
-_PLAIN = re.compile(f"[^\x20-\x7e\t\n\r\xa1-\xac\xae-ɏ]")
-_PIECE = re.compile(f"'(?:[stmd]|re|ve|ll)| ?[{_LETTER}]+| ?[{_DIGIT}]+| ?[^{_SPACE}{_LETTER}{_DIGIT}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
+#: A character that is in no plain text.
+_JOIN = "\0"
+#: Classes of characters to the pre-tokeniser: letter, digit, white space, any other; not known here.
+LETTER, DIGIT, SPACE, OTHER, UNKNOWN = range(5)
+
+
+@functools.cache
+def char_classes() -> np.ndarray:
+    """The class of each character; those of the same general category in Unicode 3.2 and now are
+    known. White space beyond blank, tab and line ends is left to the library."""
+    kind = np.full(0x110000, UNKNOWN, np.uint8)
+    for c in range(0x110000):
+        now = unicodedata.category(char := chr(c))
+        if now != unicodedata.ucd_3_2_0.category(char) or now[0] in "ZC":
+            continue
+        kind[c] = LETTER if now[0] == "L" else DIGIT if now[0] == "N" else OTHER
+    kind[[0x20, 0x09, 0x0A, 0x0D]] = SPACE
+    return kind
 
 
 def pack_blocks(ids: np.ndarray) -> bytes:
@@ -143,11 +155,39 @@ def _from_words(words: np.ndarray, n: int, w: int) -> np.ndarray:
     return out.reshape(len(words), -1)[:, :n].copy()
 
 
+def cut_pieces(chars: np.ndarray, kind: np.ndarray, heads: np.ndarray) -> np.ndarray:
+    """Where pieces start in plain text; ``heads`` are the places of each text's first character.
+
+    A piece is a run of one class, with the blank before it. White space before another character
+    goes up to its last one, which stands alone unless it is such a blank. An apostrophe that
+    starts a piece takes the ending of a contraction along, and that is a piece.
+    """
+    n = len(chars)
+    first = np.zeros(n + 1, bool)
+    first[heads] = first[n] = True
+    space, blank = kind == SPACE, chars == 0x20
+    before = np.concatenate(([OTHER], kind[:-1]))
+    changed = (kind != before) | first[:-1]
+    glued = np.concatenate(([False], blank[:-1])) & ~first[:-1]  # a blank stands right before
+    last_space = space & ~np.concatenate((space[1:], [True])) & ~first[1:]
+    start = np.where(space, changed | last_space, changed & ~glued)
+    at = np.flatnonzero(start[:-1] & (chars[:-1] == 0x27))
+    room = np.minimum(at + 2, n - 1)
+    one, two = chars[at + 1], chars[room]
+    same = ~first[at + 1]
+    short = same & np.isin(one, [ord(c) for c in "stmd"])
+    long = same & (at + 2 < n) & ~first[room] & (((one == ord("r")) | (one == ord("v"))) & (two == ord("e")) | (one == ord("l")) & (two == ord("l")))
+    start[at[short | long] + 1] = False
+    end = np.concatenate((at[short] + 2, at[long] + 3))
+    start[end[end < n]] = True
+    return np.flatnonzero(start)
+
+
 class Encoder:
-    """Ids of texts as little-endian unsigned 32-bit integers."""
+    """Ids of string columns: one after another, and how many each text has."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         kind = type(self.tokenizer.pre_tokenizer).__name__
@@ -157,39 +197,72 @@ class Encoder:
         vocab = self.tokenizer.get_vocab()
         self.opens = np.zeros(max(vocab.values(), default=0) + 1, bool)
         self.opens[[i for t, i in vocab.items() if t.startswith("Ġ")]] = True  # a leading space
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-
-    def _library(self, texts: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _pieces(self, new: list[str]) -> dict[str, bytes]:
-        """Ids of pieces. Those of a space and letters stay pieces when they stand in a row, and only
-        their first ids begin with a space: a few hundred are encoded as one text and cut there."""
-        row = [w for w in new if len(w) > 1 and w[0] == " " and w[1:].isalpha()]
-        out = dict(zip(rest := [w for w in new if not (len(w) > 1 and w[0] == " " and w[1:].isalpha())], self._library(rest), strict=True))
-        parts = [row[i : i + 500] for i in range(0, len(row), 500)]
-        for part, raw in zip(parts, self._library(["".join(p) for p in parts]), strict=True):
-            at = (np.flatnonzero(self.opens[np.frombuffer(raw, "<u4")]) * 4).tolist()
-            if len(at) != len(part):
-                raise ValueError("the tokenizer doesn't split before spaces")
-            out.update((w, raw[a:b]) for w, a, b in zip(part, at, [*at[1:], len(raw)], strict=True))
-        return out
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        plain = [self.split and not _PLAIN.search(t) and not any(a in t for a in self.added) for t in texts]
-        cut = [_PIECE.findall(t) if p else [] for t, p in zip(texts, plain, strict=True)]
-        if len(self.known) > REMEMBERED:
-            self.older, self.known = self.known, {}
-        known, older, new = self.known, self.older, []
-        for w in set().union(*cut) - known.keys():
-            if w in older:
-                known[w] = older[w]
-            else:
-                new.append(w)
-        known.update(self._pieces(new))
-        whole = iter(self._library([t for t, p in zip(texts, plain, strict=True) if not p]))
-        return [b"".join(map(known.__getitem__, c)) if p else next(whole) for c, p in zip(cut, plain, strict=True)]
+        self.memo = px.Memo(self._pieces)
+        if self.split:  # for pieces that are cut already, which a mark in no piece joins
+            self.of_pieces = Tokenizer.from_file(path)
+            self.of_pieces.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.CharDelimiterSplit(_JOIN), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+
+    def _library(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.int32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    @staticmethod
+    def _joined(parts: list[np.ndarray]) -> np.ndarray:
+        return np.concatenate(parts) if parts else np.empty(0, np.int32)
+
+    def _pieces(self, new: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces. Of a blank and other characters, only the first id begins with a space: a few
+        hundred such pieces are encoded as one text and cut there."""
+        new = new.cast(pa.string())
+        count = np.zeros(len(new), np.int64)
+        row = pc.match_substring_regex(new, r"^ [^ \t\n\r]").to_numpy(zero_copy_only=False)
+        alone, joined = np.flatnonzero(~row), np.flatnonzero(row)
+        singles = self._library(new.take(pa.array(alone)).to_pylist())
+        count[alone] = [len(x) for x in singles]
+        words = new.take(pa.array(joined))
+        texts = [_JOIN.join(words.slice(i, 500).to_pylist()) for i in range(0, len(words), 500)]
+        flat = self._joined([np.array(e.ids, np.int32) for e in self.of_pieces.encode_batch_fast(texts, add_special_tokens=False)])
+        heads = np.flatnonzero(self.opens[flat])
+        if len(heads) != len(joined):
+            raise ValueError("a piece's later ids begin with a space")
+        count[joined] = np.diff(np.append(heads, len(flat)))
+        mine = self._joined(singles)
+        first = np.empty(len(new), np.int64)
+        first[joined], first[alone] = heads, len(flat) + np.cumsum(count[alone]) - count[alone]
+        return px.gather(np.concatenate((flat, mine)), first, count), count
+
+    def __call__(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        if not self.split:
+            return self._whole(column)
+        other = np.zeros(len(column), bool)
+        for a in self.added:
+            other |= pc.match_substring(column, a).to_numpy(zero_copy_only=False)
+        data, at = px.buffers(column)
+        chars = np.frombuffer(data.tobytes().decode().encode("utf-32-le"), "<u4")
+        heads = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))[at]  # of texts, in characters
+        kind = char_classes()[chars]
+        other |= np.diff(np.concatenate(([0], np.cumsum(kind == UNKNOWN)))[heads]) > 0
+        if other.any():
+            return self._mixed(column, other)
+        if not len(chars):
+            return np.empty(0, np.int32), np.zeros(len(column), np.int64)
+        starts = cut_pieces(chars, kind, heads[:-1][np.diff(heads) > 0])
+        size = 1 + (chars >= 0x80) + (chars >= 0x800) + (chars >= 0x10000).astype(np.int64)
+        pieces = px.cut_texts(data, (np.cumsum(size) - size)[starts], len(data))
+        return self.memo.ids(pieces, np.diff(np.searchsorted(starts, heads)))
+
+    def _whole(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        got = self._library(column.to_pylist())
+        return self._joined(got), np.array([len(x) for x in got], np.int64)
+
+    def _mixed(self, column: pa.Array, other: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Plain texts by their pieces, the others whole, in the order of the rows."""
+        order = np.concatenate((np.flatnonzero(~other), np.flatnonzero(other)))
+        plain, whole = self(column.filter(pa.array(~other))), self._whole(column.filter(pa.array(other)))
+        count = np.empty(len(column), np.int64)
+        count[order] = n = np.concatenate((plain[1], whole[1]))
+        first = np.empty(len(column), np.int64)
+        first[order] = np.cumsum(n) - n
+        return px.gather(np.concatenate((plain[0], whole[0])), first, count), count
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -207,21 +280,23 @@ def _writer(path: str, end_id: int):
         ids, counts, held, size = [], [], [], 0
 
         def close() -> pa.RecordBatch:
-            row = {
-                "shard": shard, "file": number, "doc_ids": pa.array(ids, pa.int64()).to_pylist(), "counts": counts, "n_ids": size,
-                "data": pack_blocks(np.frombuffer(b"".join(held), "<u4")),
-            }
-            return pa.RecordBatch.from_pylist([row], _FILE_SCHEMA)
+            row = [[shard], [number], pa.concat_arrays(ids), np.concatenate(counts), [size], [pack_blocks(np.concatenate(held))]]
+            return pa.RecordBatch.from_arrays([pa.array([v] if 1 < i < 4 else v, f.type) for i, (v, f) in enumerate(zip(row, _FILE_SCHEMA, strict=True))], schema=_FILE_SCHEMA)
 
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            doc_ids = batch.column(0).to_pylist()
-            for lo, hi in fw.slices(texts, 2 << 20):
-                for d, got in zip(doc_ids[lo:hi], encoder(texts[lo:hi]), strict=True):
-                    ids.append(d)
-                    counts.append(len(got) // 4 + 1)
-                    held.append(got + end)
-                    size += counts[-1]
+            column, doc_ids = px.text_column(batch.column(1)), batch.column(0)
+            for lo, hi in px.slices(column):
+                flat, n = encoder(column.slice(lo, hi - lo))
+                flat, n = px.with_ends(flat, n, end_id), n + 1
+                total, at = np.cumsum(n), 0
+                while at < len(n):  # up to the document that fills the file, or all
+                    begun = total[at - 1] if at else 0
+                    to = min(int(np.searchsorted(total, begun + FILE_IDS - size)) + 1, len(n))
+                    ids.append(doc_ids.slice(lo + at, to - at))
+                    counts.append(n[at:to])
+                    held.append(flat[begun : total[to - 1]].astype(np.uint32))
+                    size += int(total[to - 1] - begun)
+                    at = to
                     if size >= FILE_IDS:
                         yield close()
                         ids, counts, held, size, number = [], [], [], 0, number + 1
@@ -239,7 +314,8 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int, path: s
     """Encode whole texts, an end id after each, into files in ascending id order; returns their folder."""
     path = path or fresh_path(docs.sparkSession, "token-files")
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    files = docs.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(_writer(tokenizer_path, end_id), _FILES)
+    order = ["doc_id", F.xxhash64("text"), "text"]
+    files = docs.repartitionByRange(*order[:2]).sortWithinPartitions(*order).mapInArrow(_writer(tokenizer_path, end_id), _FILES)
     files.write.option("compression", "uncompressed").parquet(path)
     return path
 
