@@ -11,12 +11,15 @@ either class, chosen by a hash of the id); scoring covers every whole text.
 
 Defined results: a null or empty text is scored as one without matches; labels that are null, or
 whose document is missing, teach nothing; an id with several labels teaches by the largest;
-without usable labels the fixed words alone decide; repeated rows are each scored. Labels, language, source and id are no
-inputs of a score.
+without usable labels the fixed words alone decide; repeated rows are each scored, and an empty table gives no row. Terms
+of equal rank are taken in the order of their length, then letters. Labels, language, source and id are no inputs of a score,
+and columns of any name are kept. The time for a text grows with its length times the logarithm of its exceptions.
 """
 
 from __future__ import annotations
 
+import bisect
+import itertools
 import math
 import unicodedata
 from collections import Counter
@@ -26,6 +29,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructType
+
+from .workspace import unused
 
 # Words that are insults by themselves.
 SEEDS = ("idiot", "moron", "stupid", "loser", "scum", "trash", "clown", "worthless", "pathetic", "disgusting")
@@ -35,8 +41,10 @@ EXCEPTIONS = ("clown fish", "trash can", "trash bin", "class clown", "trash coll
 #: Labelled rows of either class that are learned from.
 SAMPLE = 8000
 THRESHOLD = 0.3
-#: Lengths of word beginnings that may become terms, and the most terms.
-LEAST, MOST, TERMS = 4, 12, 400
+#: Lengths of word beginnings that may become terms.
+LEAST, MOST = 4, 12
+#: The size of the model: the terms of a lexicon, taken in order of rank. No row is left out by it.
+TERMS = 400
 
 # Letters of other scripts that look like Latin ones, then signs that stand for letters.
 _LOOKALIKES = dict(zip("авеікмнорстухѕјԁһɡαεικνορτυχω", "abeikmhopctyxsjdhgaeikvoptuxw", strict=True))
@@ -94,11 +102,15 @@ class Lexicon:
         hits = [(end - size + 1, end, w) for end, (size, w) in automaton.iter(folded)]
         if not hits:
             return 0.0
-        safe = [(a, b) for a, b, w in hits if not w]
+        # hits come by their ends; of the exceptions that start at or before a place the farthest end counts
+        safe = sorted((a, b) for a, b, w in hits if not w)
+        starts, reach = [a for a, _ in safe], list(itertools.accumulate((b for _, b in safe), max))
         total: dict[int, float] = {}
         for a, b, w in hits:  # the heaviest term of each word
-            if w and not any(x <= a and b <= y for x, y in safe):
-                total[a] = max(total.get(a, 0.0), w)
+            if w:
+                k = bisect.bisect_right(starts, a)
+                if not k or reach[k - 1] < b:
+                    total[a] = max(total.get(a, 0.0), w)
         return math.log1p(100 * sum(total.values()) / (folded.count(" ") + 50)) if total else 0.0
 
     def score(self, load: float) -> float:
@@ -123,9 +135,9 @@ def _loads(lexicon: Lexicon):
     return loads
 
 
-def learn(docs: DataFrame, labels: DataFrame, usable: Column | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> Lexicon:
-    """Fit the lexicon on at most about ``sample`` labelled rows of either class; ``usable`` is a
-    condition on the column ``id``."""
+def learn(docs: DataFrame, labels: DataFrame, usable: Column | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE, terms: int = TERMS) -> Lexicon:
+    """Fit a lexicon of ``terms`` terms at most on about ``sample`` labelled rows of either class at
+    most; ``usable`` is a condition on the column ``id``."""
     rows = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("toxic"))
     rows = rows.filter(F.col("id").isNotNull() & F.col("toxic").isin(0, 1))
     if usable is not None:
@@ -152,7 +164,7 @@ def learn(docs: DataFrame, labels: DataFrame, usable: Column | None = None, id_c
     weights = dict(seeds.weights)
     # all terms are ranked where they are, and read here until the lexicon is full
     for r in held.orderBy((F.col("z") * F.col("weight")).desc(), F.length("term"), "term").toLocalIterator():
-        if len(weights) >= TERMS:
+        if len(weights) >= terms:
             break
         term = r["term"]
         if not any(term.startswith(known.rstrip(" ")) or known.startswith(term.rstrip(" ")) for known in weights):
@@ -184,18 +196,23 @@ def _calibrate(lexicon: Lexicon, x: np.ndarray, y: np.ndarray, part: dict[int, f
 
 
 def score_texts(docs: DataFrame, lexicon: Lexicon, text_col: str = "text") -> DataFrame:
-    """The documents, all columns kept, and last ``toxicity`` (0 to 1)."""
-    at = docs.columns.index(text_col)
+    """The documents, all columns kept, and last ``toxicity`` (0 to 1), or ``toxicity_1`` and so on
+    where a column is called so."""
+    at, name = docs.columns.index(text_col), unused(docs.columns, "toxicity")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = lexicon.automaton()
         for batch in batches:
             got = pa.array([lexicon.score(lexicon.load(automaton, t or "")) for t in batch.column(at).to_pylist()], pa.float64())
-            yield pa.RecordBatch.from_arrays([*batch.columns, got], [*batch.schema.names, "toxicity"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, got], [*batch.schema.names, name])
+
+    return docs.mapInArrow(score, StructType([*docs.schema.fields]).add(name, DoubleType()))
 
-    from pyspark.sql.types import DoubleType, StructType
 
-    return docs.mapInArrow(score, StructType([*docs.schema.fields]).add("toxicity", DoubleType()))
+def keep_clean(docs: DataFrame, lexicon: Lexicon, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The documents that score below the threshold, with their own columns alone."""
+    scored = score_texts(docs, lexicon, text_col)
+    return scored.filter(F.col(scored.columns[-1]) < threshold).drop(scored.columns[-1])
 
 
 def held_out(id_column: Column) -> Column:

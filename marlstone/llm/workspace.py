@@ -8,16 +8,28 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_OWN: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; one of our own only where that is unset."""
+    """The folder of ``spark.checkpoint.dir``. Where that is unset, a folder beside the warehouse's
+    tables, or on a single machine (master ``local``) a temporary one; the session stays as it is."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="marlstone-")
-        spark.conf.set("spark.checkpoint.dir", found)
-        spark.sparkContext.setCheckpointDir(found)
+        context = spark.sparkContext
+        if context.applicationId not in _OWN:
+            alone = context.master.split("[")[0] == "local"
+            _OWN[context.applicationId] = "file://" + tempfile.mkdtemp(prefix="marlstone-") if alone else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_marlstone"
+        found = _OWN[context.applicationId]
     return found.rstrip("/")
 
 
+def unused(columns: list[str], name: str) -> str:
+    """``name``, or with a number where a column is called so already, in any case of letters."""
+    taken = {c.lower() for c in columns}
+    return next(n for n in (name, *(f"{name}_{k}" for k in range(1, len(columns) + 2))) if n.lower() not in taken)
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
