@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from marlstone.sources.session import table as _table
 
+from . import jaccard_join as _jaccard
 from . import line_dedup as _lines
+from . import substring_dedup as _substrings
 from . import topk_search as _topk
 from . import toxicity as _toxic
 from . import url_filter as _urls
@@ -38,7 +40,8 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = _lines.line_dedup(_table(spark, sf_dir, "documents"))
-    return out.select("doc_id", "n_lines", "n_removed", _sha256("text").alias("kept_sha256"))
+    lines, removed = out.columns[-2:]
+    return out.select("doc_id", F.col(lines).alias("n_lines"), F.col(removed).alias("n_removed"), _sha256("text").alias("kept_sha256"))
 
 
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,5 +97,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLES: dict[str, str] = {
     "op1_topk_search": _topk.ORACLE_SQL,
     "op3_line_dedup": _lines.ORACLE_SQL,
+    "op4_substring_dedup": _substrings.ORACLE_SQL,
     "op7_url_filter": _urls.ORACLE_SQL,
+    "op10_jaccard_join": _jaccard.ORACLE_SQL,
 }

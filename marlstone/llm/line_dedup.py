@@ -12,7 +12,8 @@ small, and else joined to salted documents.
 Defined results: lines are compared without blanks, tabs and carriage returns at their ends, and
 blank lines always stay; a null text has no lines and stays null; rows with a null host are one
 site; each row is a page, repeated or not; an id may be null or repeated, for nothing is joined by
-it; other columns are kept, whatever their names.
+it; an empty table gives no row; a text of any length is one array of lines in its row; other
+columns are kept, whatever their names.
 """
 
 from __future__ import annotations
@@ -20,9 +21,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .workspace import materialise
+from .workspace import materialise, unused
 
-RATIO = 0.1
+RATIO = 0.05
+#: A line on fewer pages is no boilerplate of its host, whatever the ratio: of a handful of pages one line
+#: in common says nothing yet.
 LEAST_PAGES = 4
 #: Boilerplate lines of all hosts (16 bytes each) that may be broadcast.
 BROADCAST_LINES = 200_000
@@ -48,24 +51,28 @@ def boilerplate(pages: DataFrame, host_col: str, text_col: str, ratio: float = R
     return often.groupBy("host").agg(F.count(F.lit(1)).alias("n"), F.collect_list("line").alias("bad"))
 
 
-def line_dedup(pages: DataFrame, host_col: str = "source", text_col: str = "text", ratio: float = RATIO, least_pages: int = LEAST_PAGES) -> DataFrame:
+def line_dedup(pages: DataFrame, host_col: str = "source", text_col: str = "text", ratio: float = RATIO, least_pages: int = LEAST_PAGES, broadcast_lines: int = BROADCAST_LINES) -> DataFrame:
     """The pages with boilerplate lines dropped from their text, all columns kept, and last
-    ``n_lines`` and ``n_removed`` (of the row before)."""
+    ``n_lines`` and ``n_removed`` (of the row before), or ``n_lines_1`` and so on where a column is
+    called so."""
     bad = materialise(boilerplate(pages, host_col, text_col, ratio, least_pages), "boilerplate")
     size = bad.agg(F.sum("n")).first()[0] or 0
     rows = pages.select(F.struct("*").alias("row"), F.xxhash64(F.col(host_col)).alias("host"), F.split(F.col(text_col), "\n", -1).alias("lines"))
-    if size <= BROADCAST_LINES:
+    if size <= broadcast_lines:
         rows = rows.join(F.broadcast(bad.select("host", "bad")), "host", "left")
     else:
-        salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
-        rows = rows.withColumn("salt", F.pmod(F.xxhash64("lines"), F.lit(SALTS)).cast("int"))
+        # a host's rows go to as many tasks as there are, a third of all rows included
+        n = max(SALTS, int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        salts = F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+        rows = rows.withColumn("salt", F.pmod(F.xxhash64("lines"), F.lit(n)).cast("int"))
         rows = rows.join(bad.select("host", "bad", salts.alias("salt")), ["host", "salt"], "left")
     kept = F.when(F.col("bad").isNull(), F.col("lines")).otherwise(F.filter("lines", lambda x: _blank(x) | ~F.array_contains("bad", _key(x))))
     rows = rows.select("row", "lines", kept.alias("kept"))
     names = pages.columns
     return rows.select(
         *[F.array_join("kept", "\n").alias(n) if n == text_col else F.col("row").getField(n).alias(n) for n in names],
-        F.coalesce(F.size("lines"), F.lit(0)).cast("long").alias("n_lines"), (F.coalesce(F.size("lines"), F.lit(0)) - F.coalesce(F.size("kept"), F.lit(0))).cast("long").alias("n_removed"),
+        F.coalesce(F.size("lines"), F.lit(0)).cast("long").alias(unused(names, "n_lines")),
+        (F.coalesce(F.size("lines"), F.lit(0)) - F.coalesce(F.size("kept"), F.lit(0))).cast("long").alias(unused(names, "n_removed")),
     )
 
 
