@@ -5,14 +5,17 @@ segments; a region within ``e`` edits of a segment of L characters shares at lea
 of its q-grams, all on diagonals that differ by no more than ``e``. Shared q-grams of a document
 and a segment are counted in overlapping bands of 2e diagonals, one starting every e; bands that
 meet the bound are verified by a banded alignment with free ends in the document. Nothing within
-the budget is missed.
+the budget is missed. A short segment's budget is lowered until its bound is one q-gram at least;
+an item with fewer than ``Q`` letters and digits is only found as a whole document.
 
 The index of the items' q-grams goes to every task. It is bounded: items are taken in blocks of
 at most ``INDEX_CHARS`` characters, and a larger benchmark takes a pass for each block.
 
-Defined results: null or empty texts and items match nothing, nor do items with fewer than
-``LEAST_CHARS`` letters and digits; repeated rows of documents are each judged, repeated items
-count once for each id; an empty benchmark rejects nothing. All columns of the documents are kept.
+Defined results: null texts and items, and those without letters and digits, match nothing;
+repeated rows of documents are each judged, null ids included, repeated items count once for each
+id; items with a null id are left out; an empty benchmark rejects nothing, and an empty table gives
+no row. Of equally good places of an item the first counts. A very long text is worked on alone.
+All columns of the documents are kept, whatever their names.
 """
 
 from __future__ import annotations
@@ -30,7 +33,6 @@ Q = 8
 SEGMENT = 100
 #: Edits for each character of a segment.
 BUDGET = 0.1
-LEAST_CHARS = 40
 INDEX_CHARS = 4 << 20
 _GAP = 40  # between documents, more than any budget
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -75,9 +77,12 @@ class BenchmarkIndex:
     def __init__(self, items: list[tuple[int, str]]):
         self.item: list[int] = []
         self.codes: list[np.ndarray] = []
+        self.whole: dict[bytes, set[int]] = {}
         for i, text in items:
             codes = fold(text or "")
-            if len(codes) < LEAST_CHARS:
+            if len(codes) < Q:
+                if len(codes):
+                    self.whole.setdefault(codes.tobytes(), set()).add(i)
                 continue
             starts = range(0, max(len(codes) - SEGMENT, 0) + 1, SEGMENT // 2)
             for s in {*starts, max(len(codes) - SEGMENT, 0)}:
@@ -91,16 +96,18 @@ class BenchmarkIndex:
         self.segment = np.repeat(np.arange(len(n)), n)[order]
         self.at = np.concatenate([np.empty(0, np.int64), *map(np.arange, n)]).astype(np.int64)[order]
         self.length = np.array([len(c) for c in self.codes], np.int64)
-        self.edits = np.floor(self.length * BUDGET).astype(np.int64)
+        self.edits = np.minimum(np.floor(self.length * BUDGET).astype(np.int64), (self.length - Q) // Q)
         self.need = np.maximum(self.length + 1 - Q - Q * self.edits, 1)
         self.maybe = np.zeros(1 << 18, bool)
         self.maybe[(self.hash & np.uint64((1 << 18) - 1)).astype(np.int64)] = True
 
     def leaks(self, texts: list[str]) -> list[tuple[int, int, int, int]]:
         """(text, item, edits, folded position) of every text that holds an item's segment; the best for each item."""
-        if not len(self.hash):
-            return []
         parts = [fold(t) for t in texts]
+        short = [(d, i, 0, 0) for d, p in enumerate(parts) if 0 < len(p) < Q for i in self.whole.get(p.tobytes(), ())]
+        return sorted(short + self._regions(parts)) if len(self.hash) else short
+
+    def _regions(self, parts: list[np.ndarray]) -> list[tuple[int, int, int, int]]:
         gap = np.zeros(_GAP, np.uint32)
         flat = np.concatenate([gap, *[x for p in parts for x in (p, gap)]])
         begin = _GAP + np.cumsum([0, *[len(p) + _GAP for p in parts]])[:-1]
