@@ -1,8 +1,8 @@
 """URL filter by a ratio of character language models, in DataFrame functions only.
 
 URLs that a rule accepts or rejects train two interpolated Markov models of up to three characters
-of context over host and path, as the SQL has it (scheme, query and fragment are not read, so URLs that
-differ only there get one verdict); other URLs are judged by the mean over their characters of the difference of the
+of context over all that follows ``://`` (query and fragment included; a URL without it is read whole);
+host and path alone are cut out for the rules. Other URLs are judged by the mean over their characters of the difference of the
 models' log probabilities, against a threshold between the two classes' mean scores, weighted by
 their spread.
 
@@ -11,8 +11,9 @@ that table. Runs are counted before the shuffle and URLs that read alike are sco
 host or a URL that holds a third of all rows costs no more than others. The table of runs is
 broadcast when its measured size is small, and else shuffled.
 
-Defined results: a null URL or one without ``://`` has an empty host and path and is judged by the
-models on the empty text; rows are judged one by one, repeated or not; without accepted or without rejected URLs
+Defined results: a null URL or one without ``://`` has an empty host and path; the null one is judged
+by the models on the empty text. An empty table gives no row. A very long URL is read whole. A URL that many rows share is
+scored once; joining its verdict to them is left to adaptive execution, which splits such keys. Rows are judged one by one, repeated or not; without accepted or without rejected URLs
 to learn from, no rule means allow. Columns other than the id and the URL are ignored.
 """
 
@@ -78,18 +79,21 @@ def url_filter(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     """``(page_id, host, path, rule, verdict)`` for each row."""
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"))
     host, path = url_parts(F.col("url"))
-    rows = rows.select("page_id", host.alias("host"), path.alias("path"))
+    rest = F.regexp_replace(F.coalesce("url", F.lit("")), r"\A(?s).*?://", "")
+    rows = rows.select("page_id", host.alias("host"), path.alias("path"), rest.alias("rest"))
     name, verdict = _rule(rules)
     rows = rows.withColumns({"rule": name, "by_rule": verdict})
-    text = F.translate(F.lower(F.concat("host", "path")), "123456789", "000000000")
+    text = F.translate(F.lower("rest"), "123456789", "000000000")
     rows = rows.withColumn("read", F.concat(F.lit("\x02\x02\x02"), text, F.lit("\x03")))
-    alike = materialise(rows.groupBy("read").agg(F.count_if(F.col("by_rule") == "allow").alias("a"), F.count_if(F.col("by_rule") == "block").alias("r")), "urls")
+    # a URL travels as two 64-bit hashes, so a long one costs no more for each of its runs
+    rows = rows.withColumn("key", F.struct(F.xxhash64("read").alias("k1"), F.xxhash64(F.lit(1), "read").alias("k2"))).drop("rest")
+    alike = materialise(rows.groupBy("key").agg(F.first("read").alias("read"), F.count_if(F.col("by_rule") == "allow").alias("a"), F.count_if(F.col("by_rule") == "block").alias("r")), "urls")
     each = F.explode(F.transform(F.sequence(F.lit(1), F.length("read") - 3), lambda i: F.substr("read", i, F.lit(4)))).alias("run")
     runs = alike.select(each, "a", "r").groupBy("run").agg(F.sum("a").alias("a"), F.sum("r").alias("r"))
     llr = materialise(_log_ratio(materialise(runs, "url-runs")), "url-model")
     if llr.limit(BROADCAST_RUNS + 1).count() <= BROADCAST_RUNS:
         llr = F.broadcast(llr)
-    scored = alike.select("read", "a", "r", each).join(llr, "run").groupBy("read").agg(F.first("a").alias("a"), F.first("r").alias("r"), F.avg("llr").alias("score"))
+    scored = alike.select("key", "a", "r", each).join(llr, "run").groupBy("key").agg(F.first("a").alias("a"), F.first("r").alias("r"), F.avg("llr").alias("score"))
     scored = materialise(scored, "url-scores")
     s, q = F.col("score"), lambda c: (F.sum(F.col(c)), F.sum(F.col(c) * F.col("score")), F.sum(F.col(c) * F.col("score") * F.col("score")))
     n_a, s_a, q_a, n_r, s_r, q_r = scored.agg(*[x.alias(f"x{i}") for i, x in enumerate((*q("a"), *q("r")))]).first()
@@ -99,7 +103,7 @@ def url_filter(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
         judged = F.when(F.round(s, 6) >= F.round(F.lit((m_a * d_r + m_r * d_a) / (d_a + d_r)), 6), "allow").otherwise("block")
     else:
         judged = F.lit("allow")
-    out = rows.join(scored.select("read", judged.alias("judged")), "read", "left")
+    out = rows.drop("read").join(scored.select("key", judged.alias("judged")), "key", "left")
     return out.select("page_id", "host", "path", "rule", F.coalesce("by_rule", "judged").alias("verdict"))
 
 
@@ -116,10 +120,11 @@ def _oracle() -> str:
         return out
 
     return f"""
-WITH u AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
-h AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), '{_UPPER}', '{_LOWER}') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+WITH u AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest,
+  CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE coalesce(url, '') END AS whole FROM pages),
+h AS (SELECT page_id, whole, translate(regexp_extract(rest, '^[^/?#]*'), '{_UPPER}', '{_LOWER}') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
 d AS (SELECT page_id, host, path, {case([h + p for h, p, _ in order])} AS rule, {case([v for *_, v in order])} AS by_rule,
-  chr(2) || chr(2) || chr(2) || translate(lower(host || path), '123456789', '000000000') || chr(3) AS txt FROM h),
+  chr(2) || chr(2) || chr(2) || translate(lower(whole), '123456789', '000000000') || chr(3) AS txt FROM h),
 k AS (SELECT txt, count(*) FILTER (WHERE by_rule = 'allow') AS a, count(*) FILTER (WHERE by_rule = 'block') AS r FROM d GROUP BY txt),
 e AS (SELECT txt, a, r, substr(txt, CAST(i AS BIGINT), 4) AS run FROM (SELECT txt, a, r, unnest(range(1, length(txt) - 2)) AS i FROM k) AS q),
 g AS (SELECT run, CAST(sum(a) AS DOUBLE) AS a, CAST(sum(r) AS DOUBLE) AS r FROM e GROUP BY run),
