@@ -1,6 +1,6 @@
 """Licence scans by a positional rare-token index.
 
-Templates are short licence notices. For each template its rarest words (by document frequency over
+Templates are licence notices, a sentence or a whole one. For each template its rarest words (by document frequency over
 all documents, however frequent) are looked up, so many that every alignment that fits holds one of
 them; they give the places where the template may begin. An alignment counts if the template's mandatory
 phrases stand there and enough of its words fit. Document frequencies only decide what is looked up, never the
@@ -10,7 +10,8 @@ Document frequencies are counted over all documents for the templates' words onl
 fixed), so what the driver gathers is bounded.
 
 Defined results: a null or empty text has no words, labels or score above 0; repeated rows are each
-scanned; columns other than the id and the text are ignored.
+scanned, null ids included; of several templates each that fits gives its label, and the score is the
+best fit; a very long text is scanned alone; an empty table gives no row; columns other than the id and the text are ignored.
 """
 
 from __future__ import annotations
@@ -41,6 +42,27 @@ class Template:
     keys: tuple[str, ...]
 
 
+# The notices that go with whole licences.
+_MIT = (
+    "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, "
+    "including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, "
+    "subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. "
+    "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT."
+)
+_BSD = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+    "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+    "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+)
+_APACHE = (
+    "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 "
+    "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied."
+)
+_GNU = (
+    "This program is free software: you can redistribute it and/or modify it under the terms of the {} as published by the Free Software Foundation, either version {} of the License, or (at your option) any later version. "
+    "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE."
+)
+
 TEMPLATES = (
     Template("mit", "Released under the MIT License", ("mit license",)),
     Template("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files", ("permission is hereby granted free of charge",)),
@@ -52,6 +74,17 @@ TEMPLATES = (
     Template("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted", ("redistribution and use in source and binary forms",)),
     Template("mpl-2", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0", ("mozilla public license",)),
     Template("all-rights-reserved", "All rights reserved", ("all rights reserved",)),
+    Template("mit", _MIT, ("permission is hereby granted free of charge", "the software is provided as is")),
+    Template("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies", ("with or without fee is hereby granted",)),
+    Template("bsd", _BSD, ("redistribution and use in source and binary forms", "this list of conditions")),
+    Template("apache-2", _APACHE, ("apache license version 2", "www apache org licenses")),
+    Template("gpl-3", _GNU.format("GNU General Public License", "3"), ("gnu general public license", "version 3 of the license")),
+    Template("gpl-2", _GNU.format("GNU General Public License", "2"), ("gnu general public license", "version 2 of the license")),
+    Template("lgpl-3", _GNU.format("GNU Lesser General Public License", "3"), ("gnu lesser general public license", "version 3 of the license")),
+    Template("agpl-3", _GNU.format("GNU Affero General Public License", "3"), ("gnu affero general public license", "version 3 of the license")),
+    Template("unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software", ("free and unencumbered software",)),
+    Template("zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software", ("without any express or implied warranty", "will the authors be held liable")),
+    Template("cc-by-sa", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License", ("creative commons attribution sharealike",)),
 )
 
 #: Part of a template's words that an alignment needs.
