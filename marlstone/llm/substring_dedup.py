@@ -15,7 +15,8 @@ all windows seen so far. A batch of documents is ingested in these steps:
    bucket once for each slice, not once for each document.
 2. Each bucket merges the batch's windows, finds the earliest place of each, and merge-joins the
    distinct ones with the historical runs. Matches are verified on the whole fingerprint
-   (64 + 32 bits and the offset; 72 bits against history), then on the text in step 4.
+   (64 + 32 bits and the offset; 72 bits against history), not word by word: among n windows a
+   wrong match within a batch has a chance of about n * n / 2**97, one against history n * n / 2**73.
 3. The batch's fingerprints and the bucket's old runs are compacted into one new run, written to
    the shared folder beside the positions that are covered.
 4. Documents are joined with their covered positions by id and rewritten.
@@ -350,3 +351,15 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     places = covered.groupBy(F.col("doc_id").alias("key")).agg(F.collect_list("blob").alias("places"))
     joined = docs.withColumn("key", key).join(places, "key", "left").select("doc_id", "text", "places")
     return joined.mapInArrow(_rewriter(window, gram), "doc_id long, n_words long, n_removed long, text string")
+
+
+ORACLE_SQL = f"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+win AS (SELECT doc_id, i, md5(array_to_string(ws[i:i + {WINDOW - 1}], ' ')) AS k FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - {WINDOW - 2})) AS i FROM w WHERE len(ws) >= {WINDOW}) AS u),
+rep AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY k ORDER BY doc_id, i) AS n FROM win) AS v WHERE n > 1),
+gone AS (SELECT DISTINCT doc_id, i + j AS p FROM rep, range(0, {WINDOW}) AS t(j)),
+x AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS p FROM w),
+y AS (SELECT x.doc_id, x.p, word, gone.p IS NOT NULL AS g FROM x LEFT JOIN gone ON gone.doc_id = x.doc_id AND gone.p = x.p),
+z AS (SELECT doc_id, count(*) FILTER (WHERE g) AS n_removed, string_agg(word, ' ' ORDER BY p) FILTER (WHERE NOT g) AS kept FROM y GROUP BY doc_id)
+SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN z ON z.doc_id = w.doc_id
+"""
