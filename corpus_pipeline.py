@@ -1,8 +1,12 @@
 """The corpus pipeline: five stages over ``documents``.
 
 Each stage takes ``(spark, docs, sf_dir)`` and works on all that its predecessor kept. All but the
-last return the columns of ``documents``. Every stage handles null and empty texts, null and
-repeated ids and empty tables as its operator does.
+last return the columns of ``documents`` and any others that it has, whatever their names.
+
+Defined results, for every stage: an empty table gives no rows. Null and empty texts are clean,
+have no lines, no copies and no passages, and are encoded as the end id alone. Rows with a null
+id pass every stage; rows that repeat an id are each judged by their texts, but for the near
+copies, where an id counts as one document and its rows stay or go together.
 """
 
 from __future__ import annotations
@@ -25,12 +29,13 @@ SHINGLE, PERCENT = 5, 80
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below the threshold; labels of held-out rows are not learned from."""
     lexicon = toxicity.learn(docs, table(spark, sf_dir, "labels"), ~toxicity.held_out(F.col("id")))
-    return toxicity.score_texts(docs, lexicon).filter(F.col("toxicity") < toxicity.THRESHOLD).drop("toxicity")
+    return toxicity.keep_clean(docs, lexicon)
 
 
 def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that a large part of their source repeats."""
-    return line_dedup(docs).drop("n_lines", "n_removed").withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast("long"))
+    kept = line_dedup(docs).select(docs.columns)
+    return kept.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast("long")) if "n_chars" in docs.columns else kept
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
