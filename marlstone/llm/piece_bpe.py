@@ -32,7 +32,7 @@ MARK = "▁"
 #: The rank of no pair.
 _NONE = np.int32(2**31 - 1)
 #: Bytes of distinct words that are merged together; a longer word is merged alone.
-ROUND_BYTES = 1 << 21
+ROUND_BYTES = 1 << 20
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:

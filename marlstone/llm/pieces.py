@@ -14,9 +14,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text whose pieces are looked up together; a longer text is worked on alone.
-SLICE_BYTES = 5 << 20
+SLICE_BYTES = 3 << 20
 #: Bytes of pieces that a worker remembers, and of one piece: a text without spaces is one piece.
-REMEMBERED_BYTES, PIECE_BYTES = 8 << 20, 64
+REMEMBERED_BYTES, PIECE_BYTES = 6 << 20, 64
 
 
 def text_column(column: pa.Array) -> pa.Array:
