@@ -1,14 +1,19 @@
-"""Exact set-similarity joins by prefix filtering, in DataFrame functions only."""
+"""Exact set-similarity joins, in DataFrame functions only.
+
+Equal sets are one class; classes are joined, and classes and their members are put together at
+the end. A class is an array of 64-bit token hashes, the rarest token first, so that the few tokens that
+any similar set must share are its beginning. Pairs that meet there are ruled out by where they meet
+(what lies behind either place can't add enough); the sets are compared for what is left.
+"""
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-# Words that say nothing about a page's subject.
-STOP_WORDS = ("about", "after", "also", "been", "from", "have", "into", "more", "most", "only", "other", "over", "some", "such", "than", "that", "their", "them", "then", "there", "these", "they", "this", "those", "were", "what", "when", "where", "which", "while", "will", "with", "your")
-
+from marlstone.functions.markdown import STOP_WORDS
 
 def token_set(text: Column) -> Column:
     """Distinct lower-case words of four letters or more without stop words."""
@@ -16,24 +21,66 @@ def token_set(text: Column) -> Column:
     return F.array_except(F.array_distinct(F.filter(words, lambda w: F.length(w) >= 4)), F.array(*map(F.lit, STOP_WORDS)))
 
 
+def _classes(sets: DataFrame, id_col: str, set_col: str) -> tuple[DataFrame, DataFrame]:
+    """``(id, class)`` of every row with a set, and ``(class, s, n)`` with the sets in order."""
+    rows = sets.select(F.col(id_col).alias("id"), F.array_sort(F.array_distinct(set_col)).alias("s")).filter(F.size("s") > 0)
+    rows = rows.withColumn("key", F.struct(F.xxhash64("s").alias("k1"), F.xxhash64(F.lit(1), "s").alias("k2")))
+    named = rows.groupBy("key").agg(F.min("id").alias("class"))
+    members = rows.select("id", "key").join(named, "key").select("id", "class")
+    return members, rows.join(named.select("key", F.col("class").alias("id")), ["key", "id"]).select(F.col("id").alias("class"), "s").dropDuplicates(["class"])
+
+
+def class_pairs(classes: DataFrame, threshold: float) -> DataFrame:
+    """``(a, b, shared, score)`` for each pair of classes ``a < b`` at or above the threshold."""
+    tokens = classes.select("class", F.size("s").alias("n"), F.explode("s").alias("w"))
+    rarity = tokens.groupBy("w").agg(F.count(F.lit(1)).alias("df"))
+    ranked = tokens.join(rarity, "w").select("class", "n", F.struct("df", F.xxhash64("w").alias("t")).alias("t"))
+    whole = ranked.groupBy("class", "n").agg(F.array_sort(F.collect_list("t")).alias("ts"))
+    whole = whole.select("class", "n", F.transform("ts", lambda t: t["t"]).alias("ts"), F.transform("ts", lambda t: t["df"]).alias("dfs"))
+    whole = whole.persist(StorageLevel.MEMORY_AND_DISK)  # read six times; a lost part is made again
+    size = F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1
+    heads = whole.select("class", "n", F.posexplode(F.slice(F.arrays_zip("ts", "dfs"), F.lit(1), size.cast("int"))).alias("at", "t")).filter("t.dfs > 1").select("class", "n", "at", F.col("t.ts").alias("t"))
+    side = lambda x: heads.select(F.col("class").alias(x), F.col("n").alias(f"n{x}"), F.col("at").alias(f"p{x}"), "t")
+    need = F.ceil((F.col("na") + F.col("nb")) * F.lit(threshold / (1 + threshold)) - 1e-9)
+    met = side("a").join(side("b"), "t").filter("a < b")
+    # at most all that lies behind this place, and this and any earlier place where they met
+    met = met.groupBy("a", "b", "na", "nb").agg(F.max("pa").alias("pa"), F.max("pb").alias("pb"), F.count(F.lit(1)).alias("k"))
+    met = met.filter(F.col("k") + F.least(F.col("na") - F.col("pa") - 1, F.col("nb") - F.col("pb") - 1) >= need).select("a", "b", "na", "nb")
+    for x in "ab":
+        met = met.join(whole.select(F.col("class").alias(x), F.col("ts").alias(f"s{x}")), x)
+    met = met.select("a", "b", F.size(F.array_intersect("sa", "sb")).cast("long").alias("shared"), (F.col("na") + F.col("nb")).alias("both"))
+    met = met.withColumn("score", F.col("shared").cast("double") / (F.col("both") - F.col("shared")))
+    return met.filter(F.col("score") >= threshold).select("a", "b", "shared", "score")
+
+
+def similar_classes(sets: DataFrame, id_col: str, set_col: str, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """``(id, class)`` for every row with a set, and ``(a, b, shared, score)`` for pairs of classes. A
+    group of n copies is n rows of the first, never n * n of the second."""
+    members, classes = _classes(sets, id_col, set_col)
+    return members, class_pairs(classes, threshold)
+
+
 def similar_pairs(sets: DataFrame, id_col: str, set_col: str, threshold: float) -> DataFrame:
-    """``(a, b, shared, score)`` for each pair ``a < b`` with Jaccard at or above the threshold.
-
-    Two such sets share a token among the first ``n - ceil(t * n) + 1`` of either when tokens are
-    ordered by rarity, so only those meet; whole sets are intersected for pairs that do.
-    """
-    rows = sets.select(F.col(id_col).alias("id"), F.col(set_col).alias("s"), F.size(set_col).alias("n")).filter("n > 0")
-    tokens = rows.select("id", "n", F.explode("s").alias("w"))
-    rarity = tokens.groupBy("w").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
-    place = F.row_number().over(Window.partitionBy("id").orderBy("df", "w"))
-    # tokens of one document alone come first in the order and never meet another
-    shared = tokens.join(rarity, "w").withColumn("alone", F.col("n") - F.count(F.lit(1)).over(Window.partitionBy("id"))).withColumn("at", place + F.col("alone"))
-    prefix = shared.filter(F.col("at") <= F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1).select("id", "n", "w")
-    left, right = prefix.select(F.col("id").alias("a"), F.col("n").alias("na"), "w"), prefix.select(F.col("id").alias("b"), F.col("n").alias("nb"), "w")
-    fits = (F.col("nb") >= F.col("na") * threshold - 1e-9) & (F.col("na") >= F.col("nb") * threshold - 1e-9)
-    met = left.join(right, "w").filter((F.col("a") < F.col("b")) & fits).select("a", "b").distinct()
-    met = met.join(rows.select(F.col("id").alias("a"), F.col("s").alias("sa"), F.col("n").alias("na")), "a").join(rows.select(F.col("id").alias("b"), F.col("s").alias("sb"), F.col("n").alias("nb")), "b")
-    common = F.size(F.array_intersect("sa", "sb")).cast("long")
-    met = met.select("a", "b", common.alias("shared"), (F.col("na") + F.col("nb")).alias("both"))
-    score = F.col("shared").cast("double") / (F.col("both") - F.col("shared"))
-    return met.withColumn("score", score).filter(F.col("score") >= threshold).select("a", "b", "shared", "score")
+    """``(a, b, shared, score)`` for each pair of rows ``a < b`` with Jaccard at or above the threshold:
+    all of them, copies included, so only for callers that want each pair."""
+    members, classes = _classes(sets, id_col, set_col)
+    pairs = class_pairs(classes, threshold)
+    own = members.join(classes.select("class", F.size("s").cast("long").alias("shared")), "class")
+    left, right = members.select(F.col("id").alias("x"), F.col("class").alias("a")), members.select(F.col("id").alias("y"), F.col("class").alias("b"))
+    across = pairs.join(left, "a").join(right, "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "shared", "score")
+    alike = own.select(F.col("id").alias("a"), "class", "shared").join(own.select(F.col("id").alias("b"), "class"), "class").filter("a < b")
+    return across.unionByName(alike.select("a", "b", "shared", F.lit(1.0).alias("score")))
+
+
+def closest_pairs(sets: DataFrame, id_col: str, set_col: str, threshold: float, limit: int) -> DataFrame:
+    """The ``limit`` pairs of the highest score, ties to larger ids, descending. Of a group of copies
+    only its last ``limit + 1`` members can be in such pairs, so no group makes all its pairs."""
+    members, classes = _classes(sets, id_col, set_col)
+    last = Window.partitionBy("class").orderBy(F.desc("id"))
+    members = members.withColumn("k", F.row_number().over(last)).filter(F.col("k") <= limit + 1).select("id", "class")
+    sizes = classes.select("class", F.size("s").cast("long").alias("shared"))
+    own = members.join(sizes, "class")
+    alike = own.select(F.col("id").alias("a"), "class", "shared").join(own.select(F.col("id").alias("b"), "class"), "class").filter("a < b").select("a", "b", "shared", F.lit(1.0).alias("score"))
+    left, right = members.select(F.col("id").alias("x"), F.col("class").alias("a")), members.select(F.col("id").alias("y"), F.col("class").alias("b"))
+    across = class_pairs(classes, threshold).join(left, "a").join(right, "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "shared", "score")
+    return alike.unionByName(across).orderBy(F.desc("score"), F.desc("a"), F.desc("b")).limit(limit)

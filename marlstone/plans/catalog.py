@@ -13,7 +13,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.operators.similarity import STOP_WORDS, similar_pairs, token_set
+from marlstone.functions.markdown import STOP_WORDS
+from marlstone.operators.similarity import closest_pairs, similar_pairs, token_set
+from marlstone.plans import corpus
 from marlstone.sources.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -42,7 +44,7 @@ def _sql(name: str, spark_sql: str, oracle: str | None = None) -> None:
 
 # --- set-similarity joins -------------------------------------------------------------------
 
-_STOP = ", ".join(f"'{w}'" for w in STOP_WORDS)
+_STOP = ", ".join("'" + w.replace("'", "''") + "'" for w in STOP_WORDS)
 _TOKENS = f"""
 tok AS (SELECT DISTINCT doc_id, w FROM (SELECT doc_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[a-z][a-z0-9'']+')) AS w FROM documents) AS u
   WHERE length(w) >= 4 AND w NOT IN ({_STOP})),
@@ -57,7 +59,7 @@ def _near(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_pairs(docs.select("doc_id", token_set(F.col("text")).alias("s")), "doc_id", "s", 0.35)
 
 
-QUERIES["near_duplicate_documents"] = lambda spark, d: _near(spark, d).orderBy(F.desc("score"), F.desc("a"), F.desc("b")).limit(15)
+QUERIES["near_duplicate_documents"] = lambda spark, d: closest_pairs(table(spark, d, "documents").select("doc_id", token_set(F.col("text")).alias("s")), "doc_id", "s", 0.35, 15)
 ORACLES["near_duplicate_documents"] = f"WITH {_TOKENS} SELECT a, b, shared, score FROM sim WHERE score >= CAST(0.35 AS DOUBLE) ORDER BY score DESC, a DESC, b DESC LIMIT 15"
 QUERIES["near_duplicate_pairs"] = _near
 ORACLES["near_duplicate_pairs"] = f"WITH {_TOKENS} SELECT a, b, shared, score FROM sim WHERE score >= CAST(0.35 AS DOUBLE)"
@@ -192,3 +194,8 @@ _sql("dead_adjudications", f"SELECT s.rule, s.doc_id FROM {_REGISTRY} WHERE NOT
 _sql("findings_summary", f"SELECT rule, count(*) AS n FROM ({_RULES}) f GROUP BY rule")
 _sql("findings_report", f"SELECT rule, doc_id, k FROM (SELECT rule, doc_id, row_number() OVER (PARTITION BY rule ORDER BY doc_id) AS k FROM ({_RULES}) f) t WHERE k <= 25")
 _sql("props_contract", "SELECT event_type, count(*) AS n FROM {events} WHERE get_json_object(props, '$.k') RLIKE '^[0-9]+$' GROUP BY event_type", "SELECT event_type, count(*) AS n FROM events WHERE json_type(props, '$.k') IN ('UBIGINT', 'BIGINT') GROUP BY event_type")
+
+# --- pages -------------------------------------------------------------------------------------------
+
+QUERIES |= corpus.QUERIES
+ORACLES |= corpus.ORACLES

@@ -1,0 +1,221 @@
+"""The page operators as named queries over small corpora that are written here.
+
+The driver has no table of pages, so the pages are rows of this module, and what each query must
+return was worked out by hand from the rules and stands beside it as SQL ``VALUES``.
+"""
+
+from __future__ import annotations
+
+import datetime
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from marlstone.functions.markdown import parse_pages, with_place
+from marlstone.operators import backlinks, links
+from marlstone.plans import rules, signals
+from marlstone.sources.session import ship_package
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+GAPS = "\n## Open questions / gaps\n\nNone.\n"
+AS_OF = datetime.date(2026, 3, 11)
+
+
+def page(title: str, body: str, kind: str = "concept", related: str = "", gaps: str = GAPS, **fields: str) -> str:
+    """A page; a field given as an empty string is left out."""
+    own = {"title": f'"{title}"', "type": kind, "created": "2026-01-01", "updated": "2026-01-02", "sources": '["experience: field notes"]', "tags": "[fixture]", "confidence": "medium"}
+    own |= {"source_type": "other"} if kind == "source" else {"agent_use_cases": "\n  - to try things out"}
+    lines = [f"{k}: {v}".replace(": \n", ":\n") for k, v in (own | fields).items() if v]
+    return "\n".join(["---", *lines, "---", f"# {title}", "", body, ""]) + ("" if kind == "source" else gaps) + (f"\n## Related pages\n\n{related}\n" if related else "")
+
+
+_DELTAS = "- [[delta-one]]\n- [[delta-two]]\n- [[delta-three]]"
+CLEAN = {
+    "concepts/alpha.md": page("Alpha", "Rivers carry silt toward coastal plains every spring season.", related=_DELTAS),
+    "concepts/beta.md": page("Beta", "Rivers carry silt toward coastal plains every winter season.", related=_DELTAS.replace("[[delta-one]]", "Supports: [[concepts/delta-one|the first]]")),
+    "concepts/delta-one.md": page("Delta", "Silt settles.", related="- [[alpha]]"),
+    "concepts/delta-two.md": page("Delta", "Silt settles.", related="- [[beta]]"),
+    "concepts/delta-three.md": page("Delta", "Silt settles slowly.", related="- [[delta-one]]") + "\n## Referenced by\n\n**concepts/**  [[alpha]], [[beta]]\n",
+    "sources/gamma.md": page("Gamma", "A survey of estuary sediments. See [[alpha]].", "source"),
+}
+
+BROKEN = {
+    "concepts/Bad_Name.md": page("Name", "Words."),
+    "concepts/2026-01-02-note.md": page("Note", "Words."),
+    "odd/stray.md": page("Stray", "Words."),
+    "concepts/open.md": "---\ntitle: A",
+    "concepts/plain.md": "no frontmatter at all",
+    "concepts/gaps.md": "---\ntitle:\ntype: idea\ncreated: 2026-02-30\nupdated: 2026-6-1\nsources: [missing-slug, raw/none.md, notes/a.txt, \"synthesis\", raw/notes.md, https://example.org/a, report]\ntags: t\nconfidence: sure\nsource_type: deck\nagent_use_cases: []\n---\n" + GAPS,
+    "concepts/authority.md": page("Authority", "Words.", authority_kind="odd", authority_freshness="never", verify_before_action="maybe", last_verified="soon"),
+    "concepts/anchor.md": page("Anchor", "Words.", authority_ref="x", last_verified="2026-01-01"),
+    "concepts/needs-ref.md": page("Needs", "Words.", authority_kind="mixed", authority_freshness="predictive"),
+    "concepts/url.md": page("Url", "Words.", authority_kind="external-url", authority_ref="ftp://x"),
+    "concepts/owner.md": page("Owner", "Words.", authority_kind="owner-page", authority_ref="wiki/concepts/gone.md"),
+    "concepts/raw.md": page("Raw", "Words.", authority_kind="raw-source", authority_ref="'raw/notes.md'"),
+    "sources/report.md": page("Report", "Words.", "source", source_type="rumor", tags="", authority_kind="none", authority_freshness="event-log"),
+    "concepts/twin.md": page("Twin", "Words."),
+    "people/twin.md": page("Twin", "Words.", "person"),
+    "concepts/links.md": page("Links", "[[gone]] `[[code]]` <!-- ``` --> [[lost]] [[folder/]]\n\n~~~\n[[fenced]]\n~~~", related="- Supports: [[twin]]\n- Because: [[twin]]\n- Note: plain prose"),
+    "concepts/doubt.md": page("Doubt", "It is so (source: [[synthesis]]).", gaps="", confidence="contested"),
+    "concepts/tag.md": "---\ntitle: T\ntype: concept\ncreated: 2026-01-01\nupdated: 2026-01-01\nsources: x-y\ntags: t\nconfidence: low\nagent_use_cases: some\n---\n</invoke>\n## Open Questions\nLow confidence.\n",
+}
+#: Rows of the index: one page has none, one row leads nowhere, one page has two.
+BROKEN_INDEX = [p for p in BROKEN if p != "concepts/url.md"] + ["concepts/ghost.md", "concepts/owner.md"]
+BROKEN_FILES = ["raw/notes.md", *(f"wiki/{p}" for p in BROKEN)]
+_DANGLING_NOTE = "cite the original pages"
+BROKEN_FINDINGS = [
+    ("filename", "concepts/Bad_Name.md", "not kebab-case"),
+    ("filename", "concepts/2026-01-02-note.md", "has date prefix"),
+    ("entity-folder", "odd/stray.md", "unknown folder 'odd'"),
+    ("frontmatter", "concepts/open.md", "missing or malformed frontmatter: leading frontmatter is missing an exact closing '---' line"),
+    ("frontmatter", "concepts/plain.md", "missing or malformed frontmatter"),
+    ("frontmatter", "concepts/gaps.md", "title must be a nonempty scalar"),
+    ("frontmatter", "concepts/gaps.md", "agent_use_cases has no list items"),
+    ("type", "concepts/gaps.md", "type 'idea' != folder type 'concept'"),
+    ("confidence", "concepts/gaps.md", "invalid value 'sure'"),
+    ("source-type", "concepts/gaps.md", "source_type set on non-source page"),
+    ("date", "concepts/gaps.md", "created '2026-02-30' is not a real calendar date"),
+    ("date", "concepts/gaps.md", "updated '2026-6-1' is not YYYY-MM-DD"),
+    ("source-ref", "concepts/gaps.md", "source 'missing-slug' matches no wiki/sources/ page"),
+    ("source-ref", "concepts/gaps.md", "source 'synthesis' matches no wiki/sources/ page"),
+    ("source-ref", "concepts/gaps.md", "'raw/none.md' does not exist or is unsafe"),
+    ("source-ref", "concepts/gaps.md", "unsafe provenance path expression: 'notes/a.txt'"),
+    ("synthesis-as-source", "concepts/gaps.md", f"sources: cites the synthesis ledger; {_DANGLING_NOTE}"),
+    ("authority-field-values", "concepts/authority.md", "authority_kind 'odd' is not an accepted value"),
+    ("authority-field-values", "concepts/authority.md", "authority_freshness 'never' is not an accepted value"),
+    ("authority-field-values", "concepts/authority.md", "verify_before_action must be true or false"),
+    ("authority-field-values", "concepts/authority.md", "last_verified 'soon' is not YYYY-MM-DD"),
+    ("authority-kind-anchor", "concepts/anchor.md", "authority metadata present without authority_kind: authority_ref, last_verified"),
+    ("authority-ref-required", "concepts/needs-ref.md", "authority_ref required when authority_kind is 'mixed'"),
+    ("predictive-review-enrollment", "concepts/needs-ref.md", "authority_freshness 'predictive' requires review_by"),
+    ("authority-ref-shape", "concepts/url.md", "external-url authority_ref 'ftp://x' must be exactly one http:// or https:// URL"),
+    ("authority-ref-shape", "concepts/owner.md", "owner-page authority_ref 'wiki/concepts/gone.md' must be a contained existing wiki/*.md file"),
+    ("source-type", "sources/report.md", "invalid value 'rumor'"),
+    ("frontmatter", "sources/report.md", "missing keys: tags"),
+    ("source-page-authority", "sources/report.md", "source pages with authority metadata must use raw-source, external-url, or mixed"),
+    ("source-page-authority", "sources/report.md", "source pages may only set authority_freshness to immutable-source"),
+    ("duplicate-stem", "concepts/twin.md", "stem 'twin' is shared by: concepts/twin.md, people/twin.md"),
+    ("duplicate-stem", "people/twin.md", "stem 'twin' is shared by: concepts/twin.md, people/twin.md"),
+    ("dangling-link", "concepts/links.md", "[[gone]] resolves to nothing"),
+    ("dangling-link", "concepts/links.md", "[[lost]] resolves to nothing"),
+    ("related-label", "concepts/links.md", "'Because:' is not an allowed relationship label"),
+    ("open-questions", "concepts/doubt.md", "missing Open questions / gaps section"),
+    ("confidence-restate", "concepts/doubt.md", "confidence 'contested' not restated in body"),
+    ("confidence-restate", "concepts/doubt.md", "contested page lacks a Disagreement section"),
+    ("synthesis-as-source", "concepts/doubt.md", f"body cites [[synthesis]] as a source; {_DANGLING_NOTE}"),
+    ("stray-tag", "concepts/tag.md", "line 11: stray tool-call artifact '</invoke>'"),
+    ("source-ref", "concepts/tag.md", "source 'x-y' matches no wiki/sources/ page"),
+    ("index-missing", "concepts/url.md", "no row in index.md"),
+    ("index-stale", "concepts/ghost.md", "index.md row points to missing page"),
+    ("index-duplicate", "concepts/owner.md", "multiple index.md rows point to this page"),
+]
+
+STATE = {
+    "goals/plan.md": page("Plan", "**Status (2026-02-01)** moving ahead", "goal", updated="2026-01-05", authority_kind="none", review_by="2026-03-01"),
+    "goals/quiet.md": page("Quiet", "Nothing said.", "goal", authority_kind="none"),
+    "concepts/old.md": page("Old", "Built on [[plan]] and [[late]].", updated="2026-01-10", confidence="low"),
+    "concepts/fan.md": page("Fan", "**Status note (2026-02-15)** admires [[old]].", updated="2026-03-01"),
+    "concepts/echo.md": page("Echo", "No word of it.", updated="2026-03-01", sources="[]", review_by="2026-12-01", related="- [[old]]"),
+    "concepts/claim.md": page(
+        "Claim", 'It says "the tide always returns before the moon has fully risen" (source: [[late]]) and "the harbour was closed for repairs during the whole long winter" (source: [[late]]).\n`**Status (2026-03-09)**`',
+        updated="2026-03-01", authority_kind="owner-page", authority_ref="wiki/concepts/fan.md",
+    ),
+    "sources/late.md": page("Late", "The tide always returns -- before the moon has fully risen.", "source", updated="2026-02-20"),
+}
+OWNERS = ["goals/plan.md", "goals/quiet.md"]
+_LOST = '"the harbour was closed for repairs during the whole long winter"'
+STATE_SIGNALS = [
+    ("owner_self_drift", "goals/plan.md", None, "updated 2026-01-05, status 2026-02-01", None),
+    ("owner_status_missing", "goals/quiet.md", None, "no parseable dated Status note", None),
+    ("authority_owner_mismatch", "concepts/claim.md", None, "authority_ref 'wiki/concepts/fan.md' is not a registered owner", None),
+    ("status_drift", "concepts/old.md", "goals/plan.md", "page 2026-01-10, status 2026-02-01", None),
+    ("recompile_candidates", "concepts/old.md", "sources/late.md", "page 2026-01-10, source 2026-02-20", None),
+    ("confidence_upgrade", "concepts/old.md", None, "concepts/old.md (2 inbound)", 2.0),
+    ("authority_missing", "concepts/fan.md", None, "has dated Status note", 0.0),
+    ("authority_missing", "concepts/echo.md", None, "has review_by", 1.0),
+    ("uncited", "concepts/echo.md", None, "concepts/echo.md", None),
+    ("orphans", "concepts/claim.md", None, "concepts/claim.md", None),
+    ("orphans", "concepts/echo.md", None, "concepts/echo.md", None),
+    ("orphans", "concepts/fan.md", None, "concepts/fan.md", None),
+    ("orphans", "goals/quiet.md", None, "goals/quiet.md", None),
+    ("review_by_missing", "goals/quiet.md", None, "goals/quiet.md", None),
+    ("review_due", "goals/plan.md", None, "goals/plan.md (review_by 2026-03-01, 10 day(s) overdue)", 10.0),
+    ("quote_mismatch", "concepts/claim.md", _LOST.strip('"'), f"concepts/claim.md: {_LOST} not found in cited source(s)", None),
+]
+SETTLED = [("accepted_orphans", "concepts/fan.md", None), ("reviewed_status_drift", "concepts/old.md", "goals/plan.md"), ("reviewed_confidence_low", "concepts/ghost.md", None), ("hub_pages", "concepts/ghost.md", None)]
+
+BACKLINKS = {
+    "concepts/alpha.md": page("Alpha", "To [[beta]].") + "\n## Referenced by\n\n**concepts/**  [[beta]]\n",
+    "concepts/beta.md": page("Beta", "Of nothing.") + "\n## Referenced by\n",
+    "concepts/delta.md": "## Related pages\n\n- [[alpha]]\n",
+    "concepts/omega.md": "# Omega\n\nAlone.\n\n\n",
+    "sources/gamma.md": page("Gamma", "Words.", "source", related="- [[alpha]]"),
+}
+_NONE = "## Referenced by\n\n_No inbound links yet._\n"
+RENDERED = {
+    "concepts/alpha.md": page("Alpha", "To [[beta]].") + "\n## Referenced by\n\n\n**concepts/**  [[delta]]\n\n\n**sources/**  [[gamma]]\n",
+    "concepts/beta.md": page("Beta", "Of nothing.") + "\n## Referenced by\n\n\n**concepts/**  [[alpha]]\n",
+    "concepts/delta.md": _NONE + "## Related pages\n\n- [[alpha]]\n",
+    "concepts/omega.md": "# Omega\n\nAlone.\n\n" + _NONE,
+    "sources/gamma.md": page("Gamma", "Words.", "source").rstrip("\n") + "\n\n" + _NONE + "## Related pages\n\n- [[alpha]]\n",
+}
+
+
+def frame(spark: SparkSession, pages: dict[str, str]) -> DataFrame:
+    """Parsed pages, kept because every rule and signal reads them."""
+    ship_package(spark)
+    return parse_pages(with_place(spark.createDataFrame(list(pages.items()), "path string, text string"))).persist()
+
+
+def _one(spark: SparkSession, rows: list, schema: str) -> DataFrame:
+    return spark.createDataFrame([r if isinstance(r, tuple) else (r,) for r in rows], schema)
+
+
+def _values(columns: str, rows: list[tuple]) -> str:
+    """The rows as a DuckDB query."""
+
+    def text(v: object) -> str:
+        return "NULL" if v is None else repr(v) if isinstance(v, (int, float)) else "'" + str(v).replace("'", "''") + "'"
+
+    names = [f'"{c.split()[0]}"' for c in columns.split(", ")]
+    casts = ", ".join(f"CAST({n} AS {c.split()[1]}) AS {n}" for n, c in zip(names, columns.split(", "), strict=True))
+    if not rows:
+        return f"SELECT {casts} FROM (SELECT {', '.join(f'NULL AS {n}' for n in names)}) AS t WHERE false"
+    return f"SELECT {casts} FROM (VALUES {', '.join('(' + ', '.join(map(text, r)) + ')' for r in rows)}) AS t({', '.join(names)})"
+
+
+def _query(name: str, run: Callable[[SparkSession], DataFrame], columns: str, rows: list[tuple]) -> None:
+    QUERIES[name] = lambda spark, _: run(spark).select(*[c.split()[0] for c in columns.split(", ")])
+    ORACLES[name] = _values(columns, rows)
+
+
+def _broken(spark: SparkSession) -> DataFrame:
+    return rules.findings(frame(spark, BROKEN), _one(spark, BROKEN_FILES, "path string"), _one(spark, BROKEN_INDEX, "target string"))
+
+
+def _state(spark: SparkSession) -> DataFrame:
+    pages = frame(spark, STATE)
+    found = signals.page_signals(pages, AS_OF, _one(spark, OWNERS, "path string")).filter("check NOT IN ('thin', 'near_duplicate', 'missing_related')")
+    return found.unionByName(signals.quote_mismatches(pages, _one(spark, [("raw/none.md", "")], "path string, text string")))
+
+
+_FINDING, _SIGNAL = "check VARCHAR, path VARCHAR, detail VARCHAR", "check VARCHAR, a VARCHAR, b VARCHAR, detail VARCHAR, score DOUBLE"
+_DUPLICATES = [("concepts/delta-one.md", "concepts/delta-two.md", 1.0), ("concepts/delta-one.md", "concepts/delta-three.md", 0.875), ("concepts/delta-three.md", "concepts/delta-two.md", 0.875), ("concepts/alpha.md", "concepts/beta.md", 0.75)]
+_SETTLING = {("orphans", "concepts/fan.md"), ("status_drift", "concepts/old.md")}
+
+_query("lint_clean", lambda s: rules.findings(frame(s, CLEAN), _one(s, ["raw/notes.md"], "path string"), _one(s, list(CLEAN), "target string")), _FINDING, [])
+_query("lint_findings", _broken, _FINDING, BROKEN_FINDINGS)
+_query("lint_report", lambda s: rules.summary(_broken(s)), "check VARCHAR, n_findings BIGINT", sorted({(c, sum(x[0] == c for x in BROKEN_FINDINGS)) for c, *_ in BROKEN_FINDINGS}))
+_query("inbound_counts", lambda s: links.in_degree(frame(s, CLEAN)), "path VARCHAR, inbound BIGINT", [("concepts/alpha.md", 2), ("concepts/beta.md", 1), ("concepts/delta-one.md", 3), ("concepts/delta-two.md", 2), ("concepts/delta-three.md", 2), ("sources/gamma.md", 0)])
+_query("page_orphans", lambda s: signals.orphans(frame(s, CLEAN)), _SIGNAL, [("orphans", "sources/gamma.md", None, "sources/gamma.md", None)])
+_query("unconsumed_sources", lambda s: signals.unconsumed_sources(frame(s, CLEAN)), _SIGNAL, [("unconsumed_sources", "sources/gamma.md", None, "no authored link from any non-source entity page", None)])
+_query("missing_related", lambda s: signals.missing_related(frame(s, CLEAN)), _SIGNAL, [("missing_related", "concepts/alpha.md", "concepts/beta.md", "concepts/alpha.md ~ concepts/beta.md (3 shared)", 1.0)])
+_query("near_duplicate", lambda s: signals.near_duplicates(frame(s, CLEAN)), _SIGNAL, [("near_duplicate", a, b, f"{a} ~ {b}", v) for a, b, v in _DUPLICATES])
+_query("thin_pages", lambda s: signals.thin(frame(s, CLEAN)), _SIGNAL, [("thin", p, None, f"{p} ({n}w)", None) for p, n in (("concepts/alpha.md", 14), ("concepts/beta.md", 14), ("concepts/delta-one.md", 7), ("concepts/delta-two.md", 7), ("concepts/delta-three.md", 8), ("sources/gamma.md", 8))])
+_query("state_signals", _state, _SIGNAL, STATE_SIGNALS)
+_query("unsettled_signals", lambda s: signals.unsettled(_state(s), _one(s, SETTLED, "category string, a string, b string")), _SIGNAL, [x for x in STATE_SIGNALS if x[:2] not in _SETTLING])
+_query("dead_settlements", lambda s: signals.dead(_state(s), _one(s, SETTLED, "category string, a string, b string")), "category VARCHAR, a VARCHAR, b VARCHAR", [("reviewed_confidence_low", "concepts/ghost.md", None)])
+_query("rendered_backlinks", lambda s: backlinks.rendered(frame(s, BACKLINKS)), "path VARCHAR, text VARCHAR", list(RENDERED.items()))

@@ -1,41 +1,41 @@
-"""Rules on small pages."""
+"""Rules beyond the corpora of ``plans.corpus``, whose queries are tested with the catalog."""
 
-from marlstone.functions.markdown import parse_pages
+from marlstone.functions.markdown import parse_pages, with_place
 from marlstone.plans import rules
+from marlstone.plans.corpus import page
 
-FULL = "---\ntitle: A\ntype: concept\ncreated: 2026-01-02\nupdated: {updated}\nsources: x\ntags: t\nconfidence: {confidence}\n{more}---\n{body}\n## Open questions\n"
-
-
-def page(path, updated="2026-02-03", confidence="high", more="", body=""):
-    folder, name = path.split("/")
-    return path, folder, name.removesuffix(".md"), FULL.format(updated=updated, confidence=confidence, more=more, body=body)
-
-
-def test_findings(spark):
-    rows = [
-        page("concepts/good.md", body="[[other]] `[[code]]`"),
-        page("concepts/other.md", updated="2026-02-30", confidence="sure"),
-        page("people/other.md", body="[[gone]]"),
-        page("concepts/Bad_Name.md", more="authority_ref: x\n"),
-        page("concepts/2026-01-01-note.md", more="authority_kind: odd\nauthority_freshness: predictive\n"),
-        ("concepts/open.md", "concepts", "open", "---\ntitle: A"),
-        ("sources/bare.md", "sources", "bare", "---\ntitle: A\n---\n"),
-    ]
-    pages = parse_pages(spark.createDataFrame(rows, "path string, folder string, stem string, text string"))
-    found = rules.findings(pages).cache()
-    assert {tuple(r) for r in found.collect()} == {
-        ("date", "concepts/other.md", "updated: 2026-02-30"),
-        ("confidence", "concepts/other.md", "confidence: sure"),
-        ("duplicate-stem", "concepts/other.md", "concepts/other.md, people/other.md"),
-        ("duplicate-stem", "people/other.md", "concepts/other.md, people/other.md"),
-        ("dangling-link", "people/other.md", "gone"),
-        ("filename", "concepts/Bad_Name.md", "not kebab case: Bad_Name"),
-        ("authority-kind-anchor", "concepts/Bad_Name.md", "authority field without a kind"),
-        ("filename", "concepts/2026-01-01-note.md", "date prefix: 2026-01-01-note"),
-        ("authority-field-values", "concepts/2026-01-01-note.md", "authority_kind: odd"),
-        ("predictive-review-enrollment", "concepts/2026-01-01-note.md", "predictive without review_by"),
-        ("frontmatter", "concepts/open.md", "unterminated frontmatter"),
-        ("frontmatter", "sources/bare.md", "missing: type, created, updated, sources, tags, confidence"),
+
+def findings(spark, pages, files=()):
+    parsed = parse_pages(with_place(spark.createDataFrame(list(pages.items()), "path string, text string"))).cache()
+    return rules.findings(parsed, spark.createDataFrame([(f,) for f in files], "path string"))
+
+
+def test_blank_values_belong_to_the_frontmatter_rule(spark):
+    got = findings(spark, {"sources/s.md": page("S", "x", "source", confidence='""', source_type="''", created=" ")})
+    assert {(r["check"], r["detail"]) for r in got.collect()} >= {("frontmatter", "confidence must be a nonempty scalar"), ("frontmatter", "source_type must be a nonempty scalar"), ("frontmatter", "created must be a nonempty scalar")}
+    assert not got.filter("check = 'date'").count()
+
+
+def test_references(spark):
+    pages = {
+        "concepts/a.md": page("A", "x", authority_kind="local-resource", authority_ref="raw/deep"),
+        "concepts/b.md": page("B", "x", authority_kind="mixed", authority_ref="raw/../secret"),
+        "concepts/c.md": page("C", "x", authority_kind="owner-page", authority_ref="wiki/sources/s.md"),
+        "concepts/d.md": page("D", "x", authority_kind="mixed", authority_ref="notes by hand"),
+        "concepts/e.md": page("E", "x", authority_kind="none", authority_ref="x"),
+        "sources/s.md": page("S", "x", "source"),
     }
-    assert {r["check"]: r["n_findings"] for r in rules.summary(found).collect()}["filename"] == 2
-    assert rules.findings(pages.limit(0)).count() == 0
+    got = findings(spark, pages, ["raw/deep/f.md", "wiki/sources/s.md"]).filter("check = 'authority-ref-shape'")
+    assert sorted((r["path"], r["detail"].split(" ")[0]) for r in got.collect()) == [("concepts/b.md", "mixed"), ("concepts/c.md", "owner-page"), ("concepts/e.md", "authority_kind")]
+
+
+def test_order_and_empty(spark):
+    got = findings(spark, {"concepts/X.md": "no frontmatter [[gone]]"}).orderBy("ord").collect()
+    assert [r["check"] for r in got] == ["filename", "frontmatter"]
+    assert findings(spark, {"a.md": "x"}).filter("check = 'entity-folder'").count() == 0
+
+
+def test_meta_pages(spark):
+    parsed = lambda d: parse_pages(with_place(spark.createDataFrame(list(d.items()), "path string, text string")))
+    got = rules.meta_findings(parsed({"index.md": "[[a]] [[gone]] [[glossary]]", "log.md": "[[old]]"}), parsed({"concepts/a.md": "x"}))
+    assert [r["path"] for r in got.collect()] == ["index.md: [[gone]]"]
