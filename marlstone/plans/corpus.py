@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from marlstone.functions.markdown import parse_pages, with_place
 from marlstone.operators import backlinks, links
-from marlstone.plans import rules, signals
+from marlstone.plans import evidence, logs, rules, signals
 from marlstone.sources.session import ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -219,3 +219,29 @@ _query("state_signals", _state, _SIGNAL, STATE_SIGNALS)
 _query("unsettled_signals", lambda s: signals.unsettled(_state(s), _one(s, SETTLED, "category string, a string, b string")), _SIGNAL, [x for x in STATE_SIGNALS if x[:2] not in _SETTLING])
 _query("dead_settlements", lambda s: signals.dead(_state(s), _one(s, SETTLED, "category string, a string, b string")), "category VARCHAR, a VARCHAR, b VARCHAR", [("reviewed_confidence_low", "concepts/ghost.md", None)])
 _query("rendered_backlinks", lambda s: backlinks.rendered(frame(s, BACKLINKS)), "path VARCHAR, text VARCHAR", list(RENDERED.items()))
+
+# --- logs and evidence -----------------------------------------------------------------------------------
+
+_PROOF = 'Stale-text sweep: status=not_applicable; reason="nothing was replaced"'
+LOG = "# Log\n## [2026-07-01] ingest | early\n## 2026-07-06 | ingest | without proof\n## [2026-07-07] ingest | proven\n" + _PROOF + "\n## no date\n```\n## [2026-07-08] fenced\n```\n## [2026-07-09] Synthesis-pass | all\n## [2026-07-10] ingest | bad\nStale-text sweep: status=done"
+LONG_LOG = "# Log\n\nHead.\n" + "\n".join(f"## [2026-01-{d:02d}] ingest | {d}\nbody\n" for d in range(1, 21))
+CLAIMS = {"wiki/a.md": "# A\nOne (source: [[x]]).\nno claim [[x]]\n## Referenced by\nsource: [[z]]\n", "wiki/b.md": "# A\nOne (source: [[x]]).\nTwo (source: [[y-2]] and [[x]], [[y-2]])."}
+
+
+def _lines(spark: SparkSession, text: str) -> DataFrame:
+    ship_package(spark)
+    return spark.createDataFrame([("log.md", k, x) for k, x in enumerate(text.split("\n"), 1)], "path string, line_no long, line string")
+
+
+_query("log_entries", lambda s: logs.with_headers(_lines(s, LOG)).filter("date IS NOT NULL"), "line_no BIGINT, date VARCHAR, type VARCHAR", [(2, "2026-07-01", "ingest"), (3, "2026-07-06", "ingest"), (4, "2026-07-07", "ingest"), (8, "2026-07-08", "fenced"), (10, "2026-07-09", "synthesis-pass"), (11, "2026-07-10", "ingest")])
+_query(
+    "log_findings", lambda s: logs.header_findings(_lines(s, LOG)).unionByName(logs.proof_findings(_lines(s, LOG))), _FINDING,
+    [
+        ("log-entry-header", "log.md", "line 6: '## ' line is not a recognized log entry header"), ("log-entry-header", "log.md", "line 8: fenced '## ' line"),
+        ("stale-sweep-proof", "log.md", "line 3: ingest entry dated 2026-07-06 is missing structured Stale-text sweep proof"), ("stale-sweep-proof", "log.md", "line 12: status must be completed or not_applicable"),
+    ],
+)
+# three lines of head and twenty entries of three; a rotation adds eleven lines, so twelve entries go
+_query("log_rotation_plan", lambda s: logs.rotation_plan(_lines(s, LONG_LOG), 40), "path VARCHAR, archive VARCHAR, moved BIGINT, kept BIGINT, before BIGINT, after BIGINT", [("log.md", "archive/wiki-log/2026-01-01-to-2026-01-12.md", 12, 8, 63, 38)])
+QUERIES["evidence_claims"] = lambda s, _: evidence.claims(s.createDataFrame(list(CLAIMS.items()), "path string, text string")).select("claim_id", "path", "line_number", F.array_join("cited_slugs", ",").alias("slugs"))
+ORACLES["evidence_claims"] = "SELECT sha256(path || chr(0) || CAST(n AS VARCHAR) || chr(0) || line) AS claim_id, path, CAST(n AS BIGINT) AS line_number, slugs FROM (VALUES ('wiki/a.md', 2, 'One (source: [[x]]).' || chr(10), 'x'), ('wiki/b.md', 2, 'One (source: [[x]]).' || chr(10), 'x'), ('wiki/b.md', 3, 'Two (source: [[y-2]] and [[x]], [[y-2]]).', 'y-2,x')) AS t(path, n, line, slugs)"
