@@ -53,7 +53,7 @@ def _powers(base: int, n: int) -> np.ndarray:
         have = np.full(size, base, np.uint64)
         have[0] = 1
         have = np.multiply.accumulate(have)
-        _POW[base] = have if size <= 16 * SLICE_BYTES else _POW.get(base, have[: 1 << 16])
+        _POW[base] = have if size <= 2 * SLICE_BYTES else _POW.get(base, have[: 1 << 16])
     return have[:n]
 
 

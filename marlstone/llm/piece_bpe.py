@@ -295,13 +295,14 @@ _ENCODERS: dict[str, Encoder] = {}
 
 def _run(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        px.release()
         encoder = _ENCODERS.get(path) or _ENCODERS.setdefault(path, Encoder(path))
         for batch in batches:
             column = px.text_column(batch.column(1))
             for lo, hi in px.slices(column):
                 n, ids, text = encoder(column.slice(lo, hi - lo))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(n, pa.int64()), ids, text], ["doc_id", "n_tokens", "ids", "decoded"])
-        pa.default_memory_pool().release_unused()
+        px.release()
 
     return run
 

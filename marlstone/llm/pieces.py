@@ -7,6 +7,7 @@ Pieces met before are remembered up to a bound in bytes; results don't depend on
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -19,6 +20,14 @@ SLICE_BYTES = 3 << 20
 REMEMBERED_BYTES, PIECE_BYTES = 6 << 20, 64
 
 
+def release() -> None:
+    """Give back memory that this worker, which may have run other stages before, no longer uses."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU library alone
+    if trim is not None:
+        trim(0)
+
+
 def text_column(column: pa.Array) -> pa.Array:
     """A plain string column; a null is an empty text."""
     if pa.types.is_null(column.type):
