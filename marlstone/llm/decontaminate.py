@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import flatwords as fw
+from . import pieces as px
 
 Q = 8
 SEGMENT = 100
@@ -172,14 +173,14 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
 
         def scan(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                ids, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
-                for lo, hi in fw.slices(texts):
-                    got = shared.value.leaks(texts[lo:hi])
+                ids, texts = batch.column(0).to_pylist(), px.text_column(batch.column(1))
+                for lo, hi in px.slices(texts, fw.SLICE_BYTES):
+                    got = shared.value.leaks(texts.slice(lo, hi - lo).to_pylist())
                     if got:
                         d, i, e, at = zip(*got, strict=True)
                         yield pa.RecordBatch.from_arrays([pa.array([ids[lo + x] for x in d], pa.int64()), pa.array(i, pa.int64()), pa.array(e, pa.int32()), pa.array(at, pa.int64())], ["doc_id", "item_id", "edits", "position"])
 
-        found = docs.mapInArrow(scan, "doc_id long, item_id long, edits int, position long")
+        found = docs.mapInArrow(px.releasing(scan), "doc_id long, item_id long, edits int, position long")
         out = found if out is None else out.unionByName(found)
     return out
 
@@ -192,11 +193,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
 
         def keep(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                texts = [t or "" for t in batch.column(at).to_pylist()]
+                texts = px.text_column(batch.column(at))
                 stay = np.ones(len(texts), bool)
-                for lo, hi in fw.slices(texts):
-                    stay[[lo + d for d, *_ in shared.value.leaks(texts[lo:hi])]] = False
+                for lo, hi in px.slices(texts, fw.SLICE_BYTES):
+                    stay[[lo + d for d, *_ in shared.value.leaks(texts.slice(lo, hi - lo).to_pylist())]] = False
                 yield batch.filter(pa.array(stay))
 
-        docs = docs.mapInArrow(keep, docs.schema)
+        docs = docs.mapInArrow(px.releasing(keep), docs.schema)
     return docs

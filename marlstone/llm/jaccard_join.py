@@ -39,6 +39,7 @@ from pyspark.sql import functions as F
 
 from . import bytesplanes as planes
 from . import flatwords as fw
+from . import pieces as px
 from .workspace import discard, materialise
 
 SHINGLE = 4
@@ -48,7 +49,7 @@ HOT_LEAST = 48
 #: Partners that a class is first compared with, before all that are left.
 PARTNERS = 3
 HOT_MOST = 200_000
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 LEAST_BUCKETS = 32
 #: Ids that may be broadcast to pick their texts; beyond it they are shuffled.
 BROADCAST_IDS = 500_000
@@ -386,26 +387,26 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     reachable by links, and the smallest id with an equal set."""
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    often = docs.mapInArrow(_hot_counter(width), "s long, n long").groupBy("s").agg(F.sum("n").alias("n")).filter(F.col("n") >= HOT_LEAST)
+    often = docs.mapInArrow(px.releasing(_hot_counter(width)), "s long, n long").groupBy("s").agg(F.sum("n").alias("n")).filter(F.col("n") >= HOT_LEAST)
     hot = np.sort(np.array([r["s"] for r in often.orderBy(F.col("n").desc(), "s").limit(HOT_MOST).select("s").collect()], np.int64).view(np.uint64))
     hot = spark.sparkContext.broadcast(hot)
-    signed = materialise(docs.mapInArrow(_signer(width, percent, hot), "doc_id long, n long, rare long, a long, b long, bits binary, prefix binary"), "signed")
+    signed = materialise(docs.mapInArrow(px.releasing(_signer(width, percent, hot)), "doc_id long, n long, rare long, a long, b long, bits binary, prefix binary"), "signed")
     some = signed.filter("n > 0 AND doc_id IS NOT NULL")
     classes = materialise(some.groupBy("a", "b", "n").agg(F.min("doc_id").alias("id"), F.first("rare").alias("rare"), F.first("bits").alias("bits"), F.first("prefix").alias("prefix")), "classes")
     total = classes.agg(F.sum(F.length("prefix"))).first()[0] or 0
     buckets = max(LEAST_BUCKETS, -(-total // (8 << 20)))
 
     def met(rows: DataFrame, pairs) -> DataFrame:
-        found = rows.mapInArrow(_poster(buckets, percent), _POSTINGS).groupBy("bucket").applyInArrow(pairs(percent), _PAIRS)
+        found = rows.mapInArrow(px.releasing(_poster(buckets, percent)), _POSTINGS).groupBy("bucket").applyInArrow(pairs(percent), _PAIRS)
         return found.groupBy("x", "y", "nx", "ny").agg(F.sum("k").alias("k"))
 
     def verified(pairs: DataFrame) -> DataFrame:
         for c in ("x", "y"):
             pairs = pairs.join(classes.select(F.col("id").alias(c), F.col("n").alias("n" + c), F.col("bits").alias("b" + c)).hint("merge"), c)
-        pairs = materialise(pairs.mapInArrow(_bitmap_filter(percent), "x long, y long"), "pairs")
+        pairs = materialise(pairs.mapInArrow(px.releasing(_bitmap_filter(percent)), "x long, y long"), "pairs")
         need = materialise(pairs.select(F.explode(F.array("x", "y")).alias("doc_id")).distinct(), "need")
         wanted = F.broadcast(need) if need.count() <= BROADCAST_IDS else need
-        sets = materialise(docs.join(wanted, "doc_id", "left_semi").mapInArrow(_set_writer(width, hot), "id long, n int, s binary"), "sets")
+        sets = materialise(docs.join(wanted, "doc_id", "left_semi").mapInArrow(px.releasing(_set_writer(width, hot)), "id long, n int, s binary"), "sets")
         links = materialise(_verify(pairs, sets, percent), "links")
         discard(pairs, need, sets)
         return links

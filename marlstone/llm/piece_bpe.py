@@ -302,9 +302,8 @@ def _run(path: str):
             for lo, hi in px.slices(column):
                 n, ids, text = encoder(column.slice(lo, hi - lo))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(n, pa.int64()), ids, text], ["doc_id", "n_tokens", "ids", "decoded"])
-        px.release()
 
-    return run
+    return px.releasing(run)
 
 
 def encode_decode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -28,6 +28,16 @@ def release() -> None:
         trim(0)
 
 
+def releasing(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``work``, and then what it no longer uses is given back: workers live on into later stages."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from work(batches)
+        release()
+
+    return run
+
+
 def text_column(column: pa.Array) -> pa.Array:
     """A plain string column; a null is an empty text."""
     if pa.types.is_null(column.type):

@@ -31,6 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructType
 
+from . import pieces as px
 from .workspace import unused
 
 # Words that are insults by themselves.
@@ -203,10 +204,12 @@ def score_texts(docs: DataFrame, lexicon: Lexicon, text_col: str = "text") -> Da
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = lexicon.automaton()
         for batch in batches:
-            got = pa.array([lexicon.score(lexicon.load(automaton, t or "")) for t in batch.column(at).to_pylist()], pa.float64())
-            yield pa.RecordBatch.from_arrays([*batch.columns, got], [*batch.schema.names, name])
+            got, texts = [], px.text_column(batch.column(at))
+            for lo, hi in px.slices(texts):
+                got += [lexicon.score(lexicon.load(automaton, t)) for t in texts.slice(lo, hi - lo).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(got, pa.float64())], [*batch.schema.names, name])
 
-    return docs.mapInArrow(score, StructType([*docs.schema.fields]).add(name, DoubleType()))
+    return docs.mapInArrow(px.releasing(score), StructType([*docs.schema.fields]).add(name, DoubleType()))
 
 
 def keep_clean(docs: DataFrame, lexicon: Lexicon, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
