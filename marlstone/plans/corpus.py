@@ -7,6 +7,7 @@ return was worked out by hand from the rules and stands beside it as SQL ``VALUE
 from __future__ import annotations
 
 import datetime
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 
 from marlstone.functions.markdown import parse_pages, with_place
 from marlstone.operators import backlinks, links
-from marlstone.plans import evidence, logs, rules, signals
+from marlstone.plans import evidence, ledger, logs, rules, signals
 from marlstone.sources.session import ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -245,3 +246,44 @@ _query(
 _query("log_rotation_plan", lambda s: logs.rotation_plan(_lines(s, LONG_LOG), 40), "path VARCHAR, archive VARCHAR, moved BIGINT, kept BIGINT, before BIGINT, after BIGINT", [("log.md", "archive/wiki-log/2026-01-01-to-2026-01-12.md", 12, 8, 63, 38)])
 QUERIES["evidence_claims"] = lambda s, _: evidence.claims(s.createDataFrame(list(CLAIMS.items()), "path string, text string")).select("claim_id", "path", "line_number", F.array_join("cited_slugs", ",").alias("slugs"))
 ORACLES["evidence_claims"] = "SELECT sha256(path || chr(0) || CAST(n AS VARCHAR) || chr(0) || line) AS claim_id, path, CAST(n AS BIGINT) AS line_number, slugs FROM (VALUES ('wiki/a.md', 2, 'One (source: [[x]]).' || chr(10), 'x'), ('wiki/b.md', 2, 'One (source: [[x]]).' || chr(10), 'x'), ('wiki/b.md', 3, 'Two (source: [[y-2]] and [[x]], [[y-2]]).', 'y-2,x')) AS t(path, n, line, slugs)"
+
+# --- ledgers ---------------------------------------------------------------------------------------------
+
+_SCHEMA = '{"record_type":"schema","schema_version":1,"description":"approvals"}'
+_GOOD = '{"record_type":"capture_approval","artifact":"a","primary_home":"wiki/a.md","pages_touched":["wiki/a.md","README.md"]}'
+LEDGERS = {
+    "clean.jsonl": f"{_SCHEMA}\n{_GOOD}\n",
+    "empty.jsonl": "",
+    "blank.jsonl": " \n",
+    "bad.jsonl": "\n".join(
+        [
+            _GOOD, '{"record_type":"schema","schema_version":true}', "", "[1]", '{"a":1,"a":2}', "{", '{"record_type":"other"}',
+            _GOOD.replace('"artifact"', '"approved_at":"2026-01-01","artifact"'), '{"record_type":"synthesis_approval","pages_touched":[]}',
+            '{"record_type":"synthesis_approval","primary_home":"wiki/<x>.md","pages_touched":["wiki/<y>.md","raw/z.md","wiki/../a.md"]}',
+            '{"record_type":"synthesis_approval","backfilled":true,"pages_touched":["old/z.md"]}', _SCHEMA,
+        ]
+    ),
+}
+
+
+def _ledgers(spark: SparkSession) -> DataFrame:
+    ship_package(spark)
+    return spark.createDataFrame(list(LEDGERS.items()), "path string, text string")
+
+
+_query(
+    "ledger_findings", lambda s: ledger.findings(_ledgers(s)), "path VARCHAR, line_no BIGINT, detail VARCHAR",
+    [
+        ("empty.jsonl", None, "expected exactly one schema record, found 0"), ("blank.jsonl", None, "ledger is nonempty but contains only whitespace"),
+        ("bad.jsonl", None, "expected exactly one schema record, found 2"), ("bad.jsonl", 2, "schema record must be the first line"),
+        ("bad.jsonl", 2, "schema record must have schema_version 1"), ("bad.jsonl", 2, "schema record must have a description"),
+        ("bad.jsonl", 3, "blank lines are not allowed"), ("bad.jsonl", 4, "record must be a JSON object"), ("bad.jsonl", 5, "invalid JSON: duplicate JSON key: a"),
+        ("bad.jsonl", 6, "invalid JSON: Expecting property name enclosed in double quotes"), ("bad.jsonl", 7, "unsupported record_type 'other'"),
+        ("bad.jsonl", 8, "duplicate approval record"), ("bad.jsonl", 9, "pages_touched must be a non-empty list"),
+        ("bad.jsonl", 10, "pages_touched must not contain placeholder paths: ['wiki/<y>.md']"), ("bad.jsonl", 10, "primary_home must not be a placeholder path"),
+        ("bad.jsonl", 10, "primary_home must be included in pages_touched"), ("bad.jsonl", 10, "pages_touched paths must be under an allowed root: ['raw/z.md', 'wiki/../a.md']"),
+        ("bad.jsonl", 12, "schema record must be the first line"),
+    ],
+)
+QUERIES["ledger_lookup"] = lambda s, _: ledger.approval(_ledgers(s), hashlib.sha256(_GOOD.encode()).hexdigest())
+ORACLES["ledger_lookup"] = _values("path VARCHAR, line_no BIGINT, record VARCHAR", [("clean.jsonl", 2, _GOOD)])
