@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from marlstone.sources.session import allow_checkpoints
+
 
 def edges(pages: DataFrame) -> DataFrame:
     """``(src, slug)`` for each distinct link of a page, to itself included."""
@@ -46,13 +48,20 @@ def backlinks(pages: DataFrame) -> DataFrame:
     return met.groupBy("path", "folder").agg(F.array_sort(F.collect_list("ref")).alias("refs"))
 
 
-def reachable(pages: DataFrame, roots: DataFrame) -> DataFrame:
-    """``(path)`` of every page that can be reached from ``roots``, by frontier; it ends, as each
-    round takes unseen pages only."""
-    steps = edges(pages).join(pages.select(F.col("stem").alias("slug"), F.col("path").alias("dst")), "slug").select("src", "dst").distinct().checkpoint()
+def walk(steps: DataFrame, roots: DataFrame) -> DataFrame:
+    """``(path)`` of all that ``steps`` ``(src, dst)`` lead to from ``roots`` ``(path)``, by frontier; it
+    ends, as each round takes unseen paths only."""
+    allow_checkpoints(steps.sparkSession)
+    steps = steps.distinct().checkpoint()
     seen = frontier = roots.select("path").distinct().checkpoint()
     while True:
         frontier = frontier.join(steps, frontier["path"] == steps["src"]).select(F.col("dst").alias("path")).distinct().join(seen, "path", "left_anti").checkpoint()
         if not frontier.limit(1).count():
             return seen
         seen = seen.unionByName(frontier).checkpoint()
+
+
+def reachable(pages: DataFrame, roots: DataFrame) -> DataFrame:
+    """``(path)`` of every page that can be reached from ``roots``."""
+    steps = edges(pages).join(pages.select(F.col("stem").alias("slug"), F.col("path").alias("dst")), "slug").select("src", "dst")
+    return walk(steps, roots)

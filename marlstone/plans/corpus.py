@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import datetime
 import hashlib
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 
 from marlstone.functions.markdown import parse_pages, with_place
 from marlstone.operators import backlinks, links
-from marlstone.plans import evidence, ledger, logs, rules, signals
+from marlstone.plans import evidence, gate, ledger, logs, rules, signals, tree
 from marlstone.sources.session import ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -287,3 +288,129 @@ _query(
 )
 QUERIES["ledger_lookup"] = lambda s, _: ledger.approval(_ledgers(s), hashlib.sha256(_GOOD.encode()).hexdigest())
 ORACLES["ledger_lookup"] = _values("path VARCHAR, line_no BIGINT, record VARCHAR", [("clean.jsonl", 2, _GOOD)])
+
+# --- the tree of files -------------------------------------------------------------------------------------
+
+_REQUIRED = [*tree.REQUIRED_FILES, *(f"{p}x.md" for p in tree.REQUIRED_FOLDERS)]
+TREE = [*((p, "file") for p in _REQUIRED), (".env", "file"), ("tmp/a.zip", "file"), ("wiki/.DS_Store", "file"), (".agents/b.md", "file"), ("notes/l.md", "symlink"), ("notes/n.md", "file")]
+ARCHIVE = [*(p for p in _REQUIRED if p not in ("LICENSE", "raw/x.md")), "tmp/a.zip", ".env"]
+_WRAPPED = {".claude/commands/wiki-a.md": "a", ".claude/commands/wiki-b.md": "b", ".agents/skills/wiki-a/SKILL.md": "a", ".agents/skills/wiki-c/SKILL.md": "c"}
+_WRAPPERS = {".claude/commands/wiki-a.md": "a", ".claude/commands/wiki-b.md": "old", ".agents/skills/wiki-c/SKILL.md": None, ".agents/skills/wiki-d/SKILL.md": "d", ".claude/commands/other.md": "o", ".claude/commands/wiki-x/y.md": "y"}
+
+
+def _receipt(**other: object) -> str:
+    return json.dumps({"schema_version": 1, "verified_at": "2026-03-01T12:00:00Z", "content_sha256": "0" * 64, "byte_count": 5, "destination_id": "sha256:" + "a" * 64} | other)
+
+
+RECEIPTS = {
+    "none": None, "fresh": _receipt(), "edge": _receipt(verified_at="2026-02-09T00:00:00Z"), "stale": _receipt(verified_at="2026-02-08T23:59:59Z"), "future": _receipt(verified_at="2026-03-11T00:00:01Z"),
+    "list": "[]", "fields": _receipt(more=1), "version": _receipt(schema_version=True), "shape": _receipt(verified_at="2026-03-01"), "day": _receipt(verified_at="2026-02-30T00:00:00Z"),
+    "hash": _receipt(content_sha256="A" * 64), "size": _receipt(byte_count=-1), "place": _receipt(destination_id="drive:backup"), "twice": '{"a":1,"a":2}',
+}
+DOCS = {
+    "README.md": "[a](docs/a.md) [b](docs/b.md#part 'title') [web](https://example.org/x.md) [here](#top) [gone](docs/gone.md) [up](../x.md) [pic](pic.png) [folder](docs/) []( <docs/d.md> )",
+    "docs/a.md": "[c](./sub/../c.md) [root](/etc/x.md)", "docs/b.md": "[closed](closed/k.md) [self](b.md)", "docs/c.md": "[readme](../README.md)", "docs/d.md": None,
+    "docs/e.md": "[gone](nowhere.md) [f](f.md)", "docs/f.md": "", "docs/closed/k.md": "[e](../e.md)", "docs/alone.md": "", "other/o.md": "",
+}
+_MANIFEST = tree.Manifest(("README.md",), ("docs",), ("docs/closed",), ("docs/alone.md",))
+
+
+def _documents(spark: SparkSession, manifest: tree.Manifest) -> DataFrame:
+    return tree.document_problems(spark.createDataFrame(list(DOCS.items()), "path string, text string"), _one(spark, list(DOCS), "path string"), manifest)
+
+
+def _layout(spark: SparkSession) -> DataFrame:
+    folders = _one(spark, ["concepts", "people", "odd", "more"], "folder string")
+    return tree.layout_errors(folders, "unconfigured", ()).withColumn("status", F.lit("unconfigured")).unionByName(tree.layout_errors(folders, "configured", ("person", "goal", "idea", "goal")).withColumn("status", F.lit("configured"))).unionByName(
+        tree.layout_errors(_one(spark, [], "folder string"), "configured", ()).withColumn("status", F.lit("empty"))
+    )
+
+
+def _shipped(spark: SparkSession) -> SparkSession:
+    ship_package(spark)
+    return spark
+
+
+_query("export_files", lambda s: tree.export_files(_one(s, TREE, "path string, kind string"), "notes/n.md"), "path VARCHAR", [(p,) for p in _REQUIRED])
+_query(
+    "export_errors", lambda s: tree.export_errors(_one(s, TREE, "path string, kind string"), _one(s, ARCHIVE, "path string"), "tmp/a.zip"), "error VARCHAR",
+    [(e,) for e in (
+        "symlink in the export root: notes/l.md", "archive does not contain LICENSE", "archive does not contain raw/", "archive contains excluded path tmp/a.zip",
+        "archive contains excluded path .env", "archive unexpectedly contains itself (tmp/a.zip)", "archive file count 14 did not match expected 15",
+    )],
+)
+_query(
+    "wrapper_parity", lambda s: tree.wrapper_problems(_one(s, list(_WRAPPED.items()), "path string, text string"), _one(s, list(_WRAPPERS.items()), "path string, text string")), "problem VARCHAR",
+    [(e,) for e in (
+        "stale generated wrapper: .claude/commands/wiki-b.md", "missing generated wrapper: .agents/skills/wiki-a/SKILL.md", "cannot read wrapper .agents/skills/wiki-c/SKILL.md", "unexpected wiki-* wrapper: .agents/skills/wiki-d/SKILL.md",
+    )],
+)
+_query(
+    "entity_layout", _layout, "status VARCHAR, error VARCHAR",
+    [
+        ("unconfigured", "unsupported entity folders: more, odd"), ("configured", "unsupported entity folders: more, odd"), ("configured", "configured wiki active entity types must not contain duplicates"),
+        ("configured", "unsupported active types: idea"), ("configured", "active entity folders missing: goals"), ("configured", "inactive entity folders present: concepts"),
+        ("empty", "configured wiki requires at least one active entity type"),
+    ],
+)
+_query(
+    "backup_states", lambda s: tree.backup_states(_one(_shipped(s), list(RECEIPTS.items()), "path string, text string"), datetime.datetime(2026, 3, 11, tzinfo=datetime.timezone.utc)), "path VARCHAR, state VARCHAR, message VARCHAR",
+    [
+        ("none", "not-configured", "no verified remote-backup receipt is configured"), ("fresh", "fresh", "last verified remote backup: 2026-03-01T12:00:00Z"), ("edge", "fresh", "last verified remote backup: 2026-02-09T00:00:00Z"),
+        ("stale", "stale", "last verified remote backup is 30 day(s) old (threshold 30)"), ("future", "future", "backup receipt is future-dated (2026-03-11T00:00:01Z)"),
+        *((p, "invalid", f"backup receipt is invalid: {m}") for p, m in (
+            ("list", "top level must be a JSON object"), ("fields", "receipt fields do not match schema version 1"), ("version", "schema_version must equal 1"), ("shape", "verified_at must be UTC YYYY-MM-DDTHH:MM:SSZ"),
+            ("day", "verified_at is not a real UTC timestamp"), ("hash", "content_sha256 must be 64 lowercase hex characters"), ("size", "byte_count must be a nonnegative integer"),
+            ("place", "destination_id must be a redacted sha256 identifier"), ("twice", "duplicate JSON key 'a'"),
+        )),
+    ],
+)
+_query(
+    "document_reachability", lambda s: _documents(s, _MANIFEST), "problem VARCHAR",
+    [(e,) for e in (
+        "missing local Markdown target: README.md -> docs/gone.md", "local Markdown target escapes repository: README.md -> ../x.md", "local Markdown target escapes repository: docs/a.md -> /etc/x.md",
+        "cannot read routed document docs/d.md", "unreachable operational document: docs/e.md", "unreachable operational document: docs/f.md",
+    )],
+)
+_query("document_manifest", lambda s: _documents(s, tree.Manifest(("README.md", "START.md"), ("docs", "guides"))), "problem VARCHAR", [("declared document is missing: START.md",), ("operational directory is missing: guides",)])
+
+# --- the gate -----------------------------------------------------------------------------------------------
+
+_ASK = {"phase": "accepted", "artifact": "an answer", "primary_home": "wiki/concepts/a.md", "pages_touched": "", "path": "", "draft": None, "synthesized_pages": 0, "domain_context": True, "triggers": []}
+_DRAFT = {"path": "tmp/d.md", "draft": "word " * 301, "synthesized_pages": 3}
+_TWO = ["reusable_distinction", "existing_page_update"]
+REQUESTS: dict[str, tuple[dict, tuple[int, str | None, str | None]]] = {
+    "no phase": ({"phase": None}, (3, None, "--phase is required when --kind=capture.")),
+    "draft phase": ({"phase": "draft"}, (0, None, None)),
+    "draft into analyses": ({"phase": "draft", "pages_touched": "Wiki/Analyses/x.md"}, (3, None, "path is outside allowed repository roots: Wiki/Analyses/x.md")),
+    "draft into the folder": ({"phase": "draft", "pages_touched": "wiki/Analyses/x.md"}, (3, None, "phase 'draft' may not write to wiki/analyses/; an analysis must go through analysis-capture or promotion-audit.")),
+    "chat": ({}, (0, "chat-only", None)),
+    "chat with none": ({"pages_touched": "none"}, (3, "chat-only", "path is outside allowed repository roots: none")),
+    "chat into analyses": ({"primary_home": "wiki/analyses/a.md", **_DRAFT, "domain_context": False}, (3, "chat-only", "route 'chat-only' may not write to wiki/analyses/; an analysis must go through analysis-capture or promotion-audit.")),
+    "short draft": ({**_DRAFT, "draft": "word " * 300}, (0, "chat-only", None)),
+    "unread draft": ({"path": "tmp/d.md"}, (3, "chat-only", "--path 'tmp/d.md' is not a readable file.")),
+    "negative": ({"synthesized_pages": -1}, (3, "chat-only", "--synthesized-pages must be a non-negative count of distinct wiki pages synthesized.")),
+    "analysis": (_DRAFT, (2, "analysis-capture", None)),
+    "analysis without home": ({**_DRAFT, "primary_home": ""}, (3, "analysis-capture", "analysis-capture requires a concrete --primary-home path (no placeholder); name the real durable destination.")),
+    "promotion": ({"triggers": _TWO, "pages_touched": "README.md, wiki/b.md,,README.md"}, (2, "promotion-audit", None)),
+    "promotion unsaid": ({"triggers": _TWO, "artifact": " "}, (3, "promotion-audit", "--artifact must be a non-empty description; the gate will not write an approval record its own validator would reject.")),
+    "promotion open": ({"triggers": _TWO, "pages_touched": "wiki/<a>.md,wiki/<b>.md"}, (3, "promotion-audit", "approval scope must name concrete paths, not placeholders: ['wiki/<a>.md', 'wiki/<b>.md']")),
+    "promotion none": ({"triggers": _TWO, "pages_touched": "none"}, (3, "promotion-audit", "approval scope must name real files; drop the 'none' entries from --pages-touched.")),
+    "promotion up": ({"triggers": _TWO, "primary_home": "wiki/../a.md"}, (3, "promotion-audit", "path must not contain '.' or '..' components")),
+    "promotion unmeasured": ({"triggers": _TWO, "pages_touched": "wiki/analyses/x.md"}, (3, "promotion-audit", "promotion-audit targeting wiki/analyses/x.md requires --path to the drafted artifact so its word count is measured, not declared; any wiki/analyses/ destination in the scope triggers this.")),
+}
+SYNTHESES: list[tuple] = [
+    ("good", "a", "d", "", "wiki/synthesis.md,wiki/analyses/old.md", None), ("no drafts", "a", " ", "", "wiki/synthesis.md", "Synthesis approval requires --drafts so the user can review what changed."),
+    ("no pages", "a", "d", "", " , ", "Synthesis approval requires --pages-touched so the editable scope is explicit."), ("not in scope", "a", "d", "wiki/b.md", "wiki/a.md", "primary home wiki/b.md must be included in --pages-touched."),
+    ("new analysis", "a", "d", "wiki/analyses/new.md", "wiki/analyses/new.md", "synthesis may only touch existing wiki/analyses/ pages; file a new analysis through analysis-capture with a measured draft: missing ['wiki/analyses/new.md', 'wiki/analyses/new.md']"),
+    ("outside", "a", "d", "", "raw/x.md", "path is outside allowed repository roots: raw/x.md"),
+]
+
+
+def _requests(spark: SparkSession) -> DataFrame:
+    fields = "request_id string, phase string, artifact string, primary_home string, pages_touched string, path string, draft string, synthesized_pages int, domain_context boolean, triggers array<string>"
+    return spark.createDataFrame([(k, *(_ASK | own).values()) for k, (own, _) in REQUESTS.items()], fields)
+
+
+_query("gate_requests", lambda s: gate.judged(_requests(s)), "request_id VARCHAR, exit_code INTEGER, route VARCHAR, reason VARCHAR", [(k, *told) for k, (_, told) in REQUESTS.items()])
+_query("gate_syntheses", lambda s: gate.synthesis_reasons(s.createDataFrame([r[:5] for r in SYNTHESES], "request_id string, artifact string, drafts string, primary_home string, pages_touched string"), _one(s, ["wiki/analyses/old.md"], "path string")), "request_id VARCHAR, reason VARCHAR", [(r[0], r[-1]) for r in SYNTHESES])

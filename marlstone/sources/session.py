@@ -32,3 +32,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver's tables."""
     ship_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def allow_checkpoints(spark: SparkSession) -> None:
+    """Have ``checkpoint()`` write to the folder that ``spark.checkpoint.dir`` names. Where that is unset, and
+    no folder was given to the context, it is one beside the warehouse's tables, on a single machine a temporary one."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        alone = context.master.split("[")[0] == "local"
+        own = "file://" + tempfile.mkdtemp(prefix="marlstone-") if alone else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_marlstone"
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or own)
