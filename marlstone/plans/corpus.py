@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from marlstone.functions.markdown import parse_pages, with_place
 from marlstone.operators import backlinks, links
-from marlstone.plans import evidence, gate, ledger, logs, rules, signals, tree
+from marlstone.plans import approvals, evidence, gate, ledger, logs, markers, rules, signals, tree
 from marlstone.sources.session import ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -414,3 +414,58 @@ def _requests(spark: SparkSession) -> DataFrame:
 
 _query("gate_requests", lambda s: gate.judged(_requests(s)), "request_id VARCHAR, exit_code INTEGER, route VARCHAR, reason VARCHAR", [(k, *told) for k, (_, told) in REQUESTS.items()])
 _query("gate_syntheses", lambda s: gate.synthesis_reasons(s.createDataFrame([r[:5] for r in SYNTHESES], "request_id string, artifact string, drafts string, primary_home string, pages_touched string"), _one(s, ["wiki/analyses/old.md"], "path string")), "request_id VARCHAR, reason VARCHAR", [(r[0], r[-1]) for r in SYNTHESES])
+
+# --- approvals and declared counts -----------------------------------------------------------------------------
+
+_HEX = "0" * 64
+_CAPTURE = {
+    "record_type": "capture_approval", "schema_version": 1, "approval_status": "approved", "artifact": "a", "primary_home": "wiki/a.md", "route": "promotion-audit", "phase": "accepted", "pages_touched": ["wiki/a.md"],
+    "approved_at": "2026-07-01T00:00:00Z", "synthesized_pages": 3, "word_count": 301, "domain_context": True, "triggers": ["reusable_distinction"],
+}
+_SYNTHESIS = {"record_type": "synthesis_approval", "schema_version": 1, "approval_status": "approved", "artifact": "a", "drafts": "d", "primary_home": "wiki/synthesis.md", "pages_touched": ["wiki/synthesis.md"], "approved_at": "2026-07-01", "ledger_update_required": True}
+_NEW = {"approved_at": "2026-07-08T19:11:14+02:00", "word_count_source": "unmeasured", "word_count_path": ""}
+_MEASURED = {"approved_at": "2026-07-10T03:23:58Z", "word_count_source": "measured", "word_count_path": "tmp/d.md", "draft_sha256": _HEX, "route": "analysis-capture"}
+_HASHED = {"authored_sha256": _HEX, "authored_hash_policy": "strip_referenced_by_v1"}
+APPROVALS: list[tuple[dict, list[str]]] = [
+    (_CAPTURE, []), (_SYNTHESIS, []), (_CAPTURE | _NEW, []), (_CAPTURE | _MEASURED | _HASHED, []), (_CAPTURE | {"approved_at": "2026-07-08T17:11:13"}, []),
+    (_CAPTURE | {"schema_version": True, "approval_status": "no", "artifact": " ", "route": "chat-only", "phase": "draft"}, [
+        "approval record must have schema_version 1", "approval_status must be approved", "artifact must be a non-empty string", "route must be one of ['analysis-capture', 'promotion-audit']", "phase must be accepted for capture approvals",
+    ]),
+    (_CAPTURE | {"approved_at": "", "synthesized_pages": -1, "word_count": True, "domain_context": 1, "triggers": ["odd"], "backfilled": True}, [
+        "approved_at must be a non-empty string", "synthesized_pages must be a non-negative integer", "word_count must be a non-negative integer", "domain_context must be a boolean", "triggers must be a list of valid promotion triggers", "backfilled records must include backfill_source",
+    ]),
+    (_CAPTURE | {"approved_at": "2026-02-30", "triggers": [], "backfilled": 0, "word_count_path": None, "draft_sha256": "A", "authored_sha256": "b"}, [
+        "approved_at must be ISO-8601 parseable", "promotion-audit records must include at least one trigger", "backfilled must be a boolean when present", "word_count_path must be a string when present",
+        "draft_sha256 must be 64 lowercase hex characters when present", "authored_sha256 must be 64 lowercase hex characters when present", "authored_sha256 and authored_hash_policy must be present together",
+    ]),
+    (_CAPTURE | {"route": "analysis-capture", "word_count": 300, "authored_hash_policy": "v0", "authored_sha256": _HEX}, ["analysis-capture records must meet the 3+ pages, >300 words, domain-context criteria", "authored_hash_policy must be strip_referenced_by_v1"]),
+    (_CAPTURE | {"approved_at": "2026-07-08T17:11:14Z"}, ["word_count_source must be measured or unmeasured"]),
+    (_CAPTURE | _NEW | {"word_count_path": "x", "draft_sha256": _HEX, "triggers": ["reusable_distinction", "existing_page_update"], "pages_touched": ["wiki/a.md", "Wiki/Analyses/b.md"]}, [
+        "unmeasured capture approvals require empty word_count_path", "unmeasured capture approvals must not carry draft_sha256", "analyses-targeting capture approvals must use measured provenance", "triggers must be sorted and unique for new approvals",
+    ]),
+    (_CAPTURE | _MEASURED | {"word_count_path": " ", "draft_sha256": None}, [
+        "measured capture approvals require nonempty word_count_path", "measured capture approvals require a valid draft_sha256", "draft_sha256 must be 64 lowercase hex characters when present",
+        "authored_sha256 is required for commissioned analyses-targeting approvals", "commissioned analyses-targeting approvals require authored_hash_policy strip_referenced_by_v1",
+    ]),
+    (_SYNTHESIS | {"drafts": None, "ledger_update_required": "yes", "draft_sha256": _HEX}, [
+        "drafts must be a non-empty string", "wiki/synthesis.md primary_home requires ledger_update_required true", "ledger_update_required must be a boolean", "synthesis approvals must not carry capture measurement fields: ['draft_sha256']",
+    ]),
+    (_SYNTHESIS | {"primary_home": "wiki/a.md"}, ["ledger_update_required must be false unless primary_home is wiki/synthesis.md"]),
+]
+_query(
+    "approval_findings", lambda s: approvals.findings(_one(_shipped(s), [("l.jsonl", "\n".join([_SCHEMA, *(json.dumps(r) for r, _ in APPROVALS), "{"]))], "path string, text string")), "path VARCHAR, line_no BIGINT, detail VARCHAR",
+    [("l.jsonl", k, e) for k, (_, errors) in enumerate(APPROVALS, 2) for e in errors],
+)
+QUEUES = {
+    "good.md": "# Queue\n<!-- lint:entity-count folder=concepts count=2 -->\n<!--lint:entity-count count=0 folder=people-->\n<!-- lint:entity-count folder=goals count=0 -->", "none.md": None,
+    "bad.md": "<!-- lint:entity-count folder=concepts count=9 -->\n<!-- lint: entity-count folder=goals count=1 -->\n<!-- lint:entity-count folder=concepts count=1 -->\n<!-- lint:entity-count folder=odd count=x extra -->\n"
+    "<!-- lint:entity-count -->\n<!-- lint:entity-count folder=teams folder=goals size=3 count=-1 -->\n<!-- lint:entity-counts folder=goals count=1 -->\n<!-- lint:entity-count folder=goals\ncount=1 -->",
+}
+_query(
+    "count_marker_findings", lambda s: markers.findings(_one(_shipped(s), list(QUEUES.items()), "path string, text string")), _FINDING,
+    [("sourcing-queue-count-marker", "bad.md", f"line {n}: {e}") for n, e in (
+        (2, "malformed entity-count marker"), (3, "duplicate folder 'concepts'"), (4, "malformed attribute text"), (4, "unknown folder 'odd'"), (4, "count 'x' is not an integer"), (5, "missing folder"), (5, "missing count"),
+        (6, "duplicate attribute 'folder'"), (6, "unknown attribute 'size'"), (6, "count must be non-negative"), (7, "malformed entity-count marker"), (8, "malformed entity-count marker"),
+    )],
+)
+_query("count_marker_drift", lambda s: markers.drift(_one(_shipped(s), list(QUEUES.items()), "path string, text string"), _one(s, [*CLEAN, "people/p.md", "log.md"], "path string")), "path VARCHAR, folder VARCHAR, declared VARCHAR, actual BIGINT", [("good.md", "concepts", "2", 5), ("good.md", "people", "0", 1)])
