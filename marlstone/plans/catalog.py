@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.functions.markdown import STOP_WORDS
-from marlstone.operators.similarity import closest_pairs, similar_pairs, token_set
+from marlstone.operators.similarity import closest_pairs, similar_counts, similar_pairs, token_set
 from marlstone.plans import corpus
 from marlstone.sources.session import table
 
@@ -68,8 +68,8 @@ ORACLES["document_token_sets"] = f"WITH {_TOKENS} SELECT doc_id, w FROM tok"
 
 
 def _confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = _near(spark, sf_dir)
-    inbound = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("inbound"))
+    docs = table(spark, sf_dir, "documents")
+    inbound = similar_counts(docs.select("doc_id", token_set(F.col("text")).alias("s")), "doc_id", "s", 0.35).select(F.col("id").alias("doc_id"), F.col("pairs").alias("inbound"))
     return table(spark, sf_dir, "labels").filter("quality = 0").select("doc_id").join(inbound, "doc_id").filter("inbound >= 2")
 
 
