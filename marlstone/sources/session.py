@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import zipfile
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
@@ -42,3 +44,11 @@ def allow_checkpoints(spark: SparkSession) -> None:
         alone = context.master.split("[")[0] == "local"
         own = "file://" + tempfile.mkdtemp(prefix="marlstone-") if alone else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_marlstone"
         context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or own)
+
+
+def give_back() -> None:
+    """In a Python worker, which lives on into later stages: give back memory that isn't used any more."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU library alone
+    if trim is not None:
+        trim(0)
