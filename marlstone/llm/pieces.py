@@ -18,6 +18,11 @@ import pyarrow.compute as pc
 SLICE_BYTES = 3 << 20
 #: Bytes of pieces that a worker remembers, and of one piece: a text without spaces is one piece.
 REMEMBERED_BYTES, PIECE_BYTES = 6 << 20, 64
+#: Pieces that a worker finds by key, and slots for them: a power of two, twice as many at least.
+KNOWN, SLOTS = 1 << 20, 1 << 21
+#: By a piece's size in bytes: what of 16 bytes from its start is its own. Longer ones have no key.
+_OWN_BITS = [0 if size > 15 else (1 << 8 * size) - 1 for size in range(17)]
+_LOW, _HIGH = (np.array([m >> shift & (2**64 - 1) for m in _OWN_BITS], np.uint64) for shift in (0, 64))
 
 
 def release() -> None:
@@ -127,3 +132,90 @@ class Memo:
         at = np.flatnonzero(keep)
         self.words = words.take(pa.array(at)) if len(at) < len(words) else words
         self.flat, self.count = gather(flat, first[at], count[at]), count[at]
+
+
+def keys(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two numbers for each piece, its bytes and its size, that no other piece has; 0 if it is
+    longer than 15 bytes."""
+    padded = np.zeros(len(data) + 16, np.uint8)
+    padded[: len(data)] = data
+    eight = np.ndarray(len(data) + 9, "<u8", padded, 0, 1)  # from each byte on
+    size = np.minimum(np.diff(at), 16)
+    high = eight[at[:-1] + 8] & _HIGH[size] | np.where(size < 16, size, 0).astype(np.uint64) << np.uint64(56)
+    return eight[at[:-1]] & _LOW[size], high
+
+
+class Known:
+    """As ``Memo``, by a table with open addressing that grows in place: a key lies at its slot or
+    one of the next. Pieces of more than 15 bytes are left to a ``Memo``."""
+
+    def __init__(self, encode: Callable[[pa.Array], tuple[np.ndarray, np.ndarray]], known: int = KNOWN, slots: int = SLOTS):
+        self.encode, self.known, self.long = encode, known, Memo(encode)
+        self.low, self.high, self.row = np.zeros(slots, np.uint64), np.zeros(slots, np.uint64), np.empty(slots, np.int32)
+        self.first, self.count = np.empty(known, np.int64), np.empty(known, np.int64)
+        self.clear()
+
+    def clear(self) -> None:
+        self.rows = self.used = 0
+        self.row[:] = -1
+        self.flat = np.empty(1 << 16, np.int32)
+
+    def ids(self, pieces: pa.Array, per_text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all pieces in order, and how many each text has; ``per_text`` counts pieces."""
+        if not len(pieces):
+            return np.empty(0, np.int32), np.zeros(len(per_text), np.int64)
+        codes = pieces.dictionary_encode()
+        found = codes.dictionary.cast(pa.binary())
+        low, high = keys(*buffers(found))
+        row = self._find(low, high)
+        old, long = np.flatnonzero(row >= 0), np.flatnonzero(high == 0)
+        new = np.flatnonzero((row < 0) & (high != 0))
+        had = self.count[row[old]]
+        parts = [(gather(self.flat, self.first[row[old]], had), had), self.encode(found.take(pa.array(new))), self.long.ids(found.take(pa.array(long)), np.ones(len(long), np.int64))]
+        flat, count = np.concatenate([p[0] for p in parts]).astype(np.int32, copy=False), np.concatenate([p[1] for p in parts])
+        if self.rows + len(new) > self.known:  # then those of this batch alone, as far as they go
+            self.clear()
+            kept = np.concatenate((old, new))[: self.known]
+            self._add(low[kept], high[kept], flat, count[: len(kept)])
+        else:
+            self._add(low[new], high[new], *parts[1])
+        place = np.empty(len(row), np.int64)
+        place[np.concatenate((old, new, long))] = np.arange(len(row))
+        each = place[codes.indices.to_numpy()]
+        runs = pa.Array.from_buffers(pa.large_binary(), len(row), [None, pa.py_buffer(np.concatenate(([0], np.cumsum(4 * count)))), pa.py_buffer(flat)])
+        ids = buffers(runs.take(pa.array(each)))[0].view(np.int32)
+        total = np.concatenate(([0], np.cumsum(count[each])))[np.concatenate(([0], np.cumsum(per_text)))]
+        return ids, np.diff(total)
+
+    def _slot(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        h = (low * np.uint64(0x9E3779B97F4A7C15) ^ high) * np.uint64(0xFF51AFD7ED558CCD)
+        return ((h ^ h >> np.uint64(32)) * np.uint64(0xC4CEB9FE1A85EC53) >> np.uint64(65 - len(self.row).bit_length())).astype(np.int64)
+
+    def _find(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """The row of each key, -1 where there is none."""
+        out, rest, slot = np.full(len(low), -1, np.int64), np.arange(len(low)), self._slot(low, high)
+        while len(rest):
+            row = self.row[slot]
+            same = (row >= 0) & (self.low[slot] == low[rest]) & (self.high[slot] == high[rest])
+            out[rest[same]] = row[same]
+            on = ~same & (row >= 0)
+            rest, slot = rest[on], slot[on] + 1 & len(self.row) - 1
+        return out
+
+    def _add(self, low: np.ndarray, high: np.ndarray, flat: np.ndarray, count: np.ndarray) -> None:
+        """Remember keys that have no row yet, and their ids, the first of ``flat``."""
+        rows, ids = self.rows + len(low), self.used + int(count.sum())
+        if ids > len(self.flat):
+            more = np.empty(max(ids, 2 * len(self.flat)), np.int32)
+            more[: self.used] = self.flat[: self.used]
+            self.flat = more
+        self.flat[self.used : ids] = flat[: ids - self.used]
+        self.first[self.rows : rows], self.count[self.rows : rows] = self.used + np.cumsum(count) - count, count
+        mine, slot = np.arange(self.rows, rows, dtype=np.int32), self._slot(low, high)
+        self.rows, self.used = rows, ids
+        while len(mine):
+            free = self.row[slot] < 0
+            self.row[slot[free]] = mine[free]
+            won = self.row[slot] == mine  # of the keys at one free slot one gets it, the others go on
+            self.low[slot[won]], self.high[slot[won]] = low[won], high[won]
+            low, high, mine, slot = low[~won], high[~won], mine[~won], slot[~won] + 1 & len(self.row) - 1

@@ -67,6 +67,17 @@ def char_classes() -> np.ndarray:
     return kind
 
 
+@functools.cache
+def byte_chars() -> np.ndarray:
+    """The character that spells each byte in a byte-level vocabulary: the byte's own if it prints,
+    else one of those from 256 on."""
+    own = [b for b in range(256) if 33 <= b < 127 or 161 <= b and b != 173]
+    out = np.empty(256, "<u4")
+    out[own] = own
+    out[np.setdiff1d(np.arange(256), own)] = 256 + np.arange(256 - len(own))
+    return out
+
+
 def pack_blocks(ids: np.ndarray) -> bytes:
     """The bytes of one file."""
     ids = ids.astype(np.uint32, copy=False)
@@ -86,18 +97,23 @@ def _pack_equal(rows: np.ndarray, parts: list[bytes], at: int) -> None:
     n = rows.shape[1]
     low = rows.min(axis=1)
     rest = rows - low[:, None]
-    bits = np.frexp(rest.astype(np.float64))[1]  # of 0: 0
-    width = np.partition(bits, int(FIT * (n - 1)), axis=1)[:, int(FIT * (n - 1))]
+    fits = np.partition(rest, int(FIT * (n - 1)), axis=1)[:, int(FIT * (n - 1))]
+    width = np.frexp(fits.astype(np.float64))[1]  # of 0: 0
     for w in np.unique(width).tolist():
         mine = np.flatnonzero(width == w)
         for lo in range(0, len(mine), 128):
             i = mine[lo : lo + 128]
-            over = bits[i] > w
-            kept = np.where(over, 0, rest[i])
+            kept = rest[i]
+            over = kept > np.uint32((1 << w) - 1)
+            row, place = np.nonzero(over)
+            places, values = place.astype("<u2").tobytes(), kept[row, place].astype("<u4").tobytes()
+            kept[row, place] = 0
             packed = _to_words(kept, w)
-            for k, b in enumerate(i.tolist()):
-                out = np.flatnonzero(over[k])
-                parts[at + b] = _HEAD.pack(n, w, len(out), int(low[b])) + packed[k].tobytes() + out.astype("<u2").tobytes() + rest[b][out].astype("<u4").tobytes()
+            size, packed = packed.shape[1] * 4, packed.tobytes()
+            cut = np.searchsorted(row, np.arange(len(i) + 1)).tolist()
+            for k, (b, least) in enumerate(zip(i.tolist(), low[i].tolist(), strict=True)):
+                p, q = cut[k], cut[k + 1]
+                parts[at + b] = b"".join((_HEAD.pack(n, w, q - p, least), packed[k * size : (k + 1) * size], places[2 * p : 2 * q], values[4 * p : 4 * q]))
 
 
 def unpack_blocks(data: bytes, first: int = 0, last: int | None = None) -> np.ndarray:
@@ -187,20 +203,21 @@ class Encoder:
     """Ids of string columns: one after another, and how many each text has."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer, pre_tokenizers
+        from tokenizers import Tokenizer, models, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         kind = type(self.tokenizer.pre_tokenizer).__name__
         state = self.tokenizer.pre_tokenizer.__getstate__() if kind == "ByteLevel" else b""
         self.split = kind == "ByteLevel" and b'"add_prefix_space":false' in state and b'"use_regex":true' in state and self.tokenizer.normalizer is None
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        vocab = self.tokenizer.get_vocab()
-        self.opens = np.zeros(max(vocab.values(), default=0) + 1, bool)
-        self.opens[[i for t, i in vocab.items() if t.startswith("Ġ")]] = True  # a leading space
-        self.memo = px.Memo(self._pieces)
-        if self.split:  # for pieces that are cut already, which a mark in no piece joins
+        vocab, model = self.tokenizer.get_vocab(), self.tokenizer.model
+        self.split &= isinstance(model, models.BPE) and not (model.continuing_subword_prefix or model.end_of_word_suffix) and all(map(vocab.__contains__, map(chr, byte_chars().tolist())))
+        self.width = np.zeros(max(vocab.values(), default=0) + 1, np.int64)  # in bytes: a token spells each as a character
+        self.width[[*vocab.values()]] = [len(t) for t in vocab]
+        self.memo = px.Known(self._pieces)
+        if self.split:  # for pieces that are cut and spelled already, which a mark in no piece joins
             self.of_pieces = Tokenizer.from_file(path)
-            self.of_pieces.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.CharDelimiterSplit(_JOIN), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+            self.of_pieces.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(_JOIN)
 
     def _library(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.int32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -210,25 +227,21 @@ class Encoder:
         return np.concatenate(parts) if parts else np.empty(0, np.int32)
 
     def _pieces(self, new: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of pieces. Of a blank and other characters, only the first id begins with a space: a few
-        hundred such pieces are encoded as one text and cut there."""
-        new = new.cast(pa.string())
-        count = np.zeros(len(new), np.int64)
-        row = pc.match_substring_regex(new, r"^ [^ \t\n\r]").to_numpy(zero_copy_only=False)
-        alone, joined = np.flatnonzero(~row), np.flatnonzero(row)
-        singles = self._library(new.take(pa.array(alone)).to_pylist())
-        count[alone] = [len(x) for x in singles]
-        words = new.take(pa.array(joined))
-        texts = [_JOIN.join(words.slice(i, 500).to_pylist()) for i in range(0, len(words), 500)]
-        flat = self._joined([np.array(e.ids, np.int32) for e in self.of_pieces.encode_batch_fast(texts, add_special_tokens=False)])
-        heads = np.flatnonzero(self.opens[flat])
-        if len(heads) != len(joined):
-            raise ValueError("a piece's later ids begin with a space")
-        count[joined] = np.diff(np.append(heads, len(flat)))
-        mine = self._joined(singles)
-        first = np.empty(len(new), np.int64)
-        first[joined], first[alone] = heads, len(flat) + np.cumsum(count[alone]) - count[alone]
-        return px.gather(np.concatenate((flat, mine)), first, count), count
+        """Ids of pieces. A hundred are encoded as one text, and the bytes that each id spells tell
+        where the next piece begins."""
+        data, at = px.buffers(new)
+        spelled = np.full(len(data) + len(new), ord(_JOIN), "<u4")
+        own = np.ones(len(spelled), bool)
+        own[at[1:] + np.arange(len(new))] = False
+        spelled[own] = byte_chars()[data]
+        text = spelled.tobytes().decode("utf-32-le")
+        edge = (at + np.arange(len(at)))[[*range(0, len(new), 100), len(new)]].tolist()
+        flat = self._joined([np.array(e.ids, np.int32) for e in self.of_pieces.encode_batch_fast([text[a : b - 1] for a, b in zip(edge, edge[1:])], add_special_tokens=False)])
+        ends = np.concatenate(([0], np.cumsum(self.width[flat])))
+        last = np.searchsorted(ends, at)
+        if ends[-1] != at[-1] or (ends[last] != at).any():
+            raise ValueError("ids of a piece don't spell it")
+        return flat, np.diff(last)
 
     def __call__(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         if not self.split:
@@ -238,16 +251,16 @@ class Encoder:
             other |= pc.match_substring(column, a).to_numpy(zero_copy_only=False)
         data, at = px.buffers(column)
         chars = np.frombuffer(data.tobytes().decode().encode("utf-32-le"), "<u4")
-        heads = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))[at]  # of texts, in characters
+        begins = np.flatnonzero((data & 0xC0) != 0x80)  # of characters, in bytes
+        heads = np.searchsorted(begins, at)  # of texts, in characters
         kind = char_classes()[chars]
-        other |= np.diff(np.concatenate(([0], np.cumsum(kind == UNKNOWN)))[heads]) > 0
+        other[np.searchsorted(heads, np.flatnonzero(kind == UNKNOWN), "right") - 1] = True
         if other.any():
             return self._mixed(column, other)
         if not len(chars):
             return np.empty(0, np.int32), np.zeros(len(column), np.int64)
         starts = cut_pieces(chars, kind, heads[:-1][np.diff(heads) > 0])
-        size = 1 + (chars >= 0x80) + (chars >= 0x800) + (chars >= 0x10000).astype(np.int64)
-        pieces = px.cut_texts(data, (np.cumsum(size) - size)[starts], len(data))
+        pieces = px.cut_texts(data, begins[starts], len(data))
         return self.memo.ids(pieces, np.diff(np.searchsorted(starts, heads)))
 
     def _whole(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

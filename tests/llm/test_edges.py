@@ -213,6 +213,43 @@ def test_pieces_equal_the_library():
     assert n.tolist() == [len(x) for x in want] and flat.tolist() == [i for x in want for i in x]
 
 
+def test_known_pieces_are_not_encoded_again():
+    import pyarrow as pa
+
+    from marlstone.llm.token_files import Encoder
+
+    words = ["".join("abcdefghij"[int(d)] for d in f"{i:06}") for i in range(950_000)]
+    column = pa.array([" " + " ".join(words[i : i + 50_000]) for i in range(0, len(words), 50_000)])
+    ours, seen = Encoder(tokenizers().path("byte_bpe_50k.json")), []
+    encode = ours.memo.encode
+    ours.memo.encode = lambda new: (seen.append(len(new)), encode(new))[1]
+    one, two = ([ours(column.slice(i, 1)) for i in range(len(column))] for _ in range(2))
+    assert sum(seen) == len(words)  # all of them in the first pass
+    assert all((a == b).all() for x, y in zip(one, two, strict=True) for a, b in zip(x, y, strict=True))
+
+
+@pytest.mark.parametrize("known, slots", [(1, 2), (40, 64), (1 << 10, 1 << 11)])
+def test_known_pieces_of_full_tables(known, slots):
+    import numpy as np
+    import pyarrow as pa
+
+    from marlstone.llm import pieces as px
+
+    def encode(new):  # the bytes of a piece and one more id
+        parts = [[*b, 256 + len(b)] for b in new.to_pylist()]
+        return np.array([i for p in parts for i in p], np.int32), np.array([len(p) for p in parts], np.int64)
+
+    r, table = random.Random(5), px.Known(encode, known, slots)
+    for _ in range(30):
+        words = [bytes(r.choice(b"\0\0ab") for _ in range(r.choice((1, 2, 3, 7, 8, 9, 14, 15, 16, 17, 70)))) for _ in range(r.randint(0, 60))]
+        cut = sorted(r.choices(range(len(words) + 1), k=3))
+        per_text = np.diff([0, *cut, len(words)])
+        ids, n = table.ids(pa.array(words, pa.binary()), per_text)
+        texts = [words[a:b] for a, b in zip([0, *cut], [*cut, len(words)], strict=True)]
+        assert ids.tolist() == encode(pa.array(words, pa.binary()))[0].tolist()
+        assert n.tolist() == [sum(len(w) + 1 for w in t) for t in texts]
+
+
 def test_jaccard_groups_of_null_and_repeated_ids(spark):
     text = " ".join(f"w{i}" for i in range(30))
     rows = [(None, text), (5, text), (5, "other words entirely here now"), (9, text), (9, text), (11, ""), (12, None), (13, "two words"), (14, "two words")]
